@@ -121,7 +121,7 @@ class Compiler:
         made = given.df.groupBy(*map(name, step.group_by)).agg(*metrics)
         kinds = {f.name: f.dataType for f in made.schema}
         fields = [Field(ROW_ID, "integer", "row_id"), *(Field(c, logical(kinds[c]), "group") for c in step.group_by), *(Field(m, logical(kinds[m]), "metric") for m, _, _ in step.metrics)]
-        return self._renumbered(given, made, fields, [name(c).asc_nulls_last() for c in step.group_by] or [F.lit(0)])
+        return self._renumbered(given, made, fields, [name(c).asc_nulls_last() for c in step.group_by] or [F.lit("")])
 
     def _renumbered(self, given: Relation, df: DataFrame, fields: list[Field], order: list[Column]) -> Relation:
         numbered = dense_ids(df, order, given.scanned).select(*(name(f.name) for f in fields))

@@ -115,5 +115,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_COSINE = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))"
+_DIGITS = ", ".join(f"('0x' || substr(h, {k}, 5))::INT" for k in range(1, 41, 5))
+_ESCAPED = r"regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')"
+
+SQL = {
+    "op6_embedding_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND {_COSINE} >= 0.98),
+        reach AS (SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+        n AS (SELECT i, count(*) AS n FROM links GROUP BY i)
+        SELECT i AS vec_id, coalesce(max(n.n), 0)::BIGINT AS n_links, min(j) AS component_id, min(j) = i AS kept FROM reach LEFT JOIN n USING (i) GROUP BY i""",
+    "op8_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), h AS (SELECT page_id, t, sha1(t) AS h FROM p),
+        d AS (SELECT page_id, strlen(t) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS original, list_aggregate(list_transform([{_DIGITS}], lambda n: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 10) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', n % 32 + 1, 1)), 'string_agg', '') AS payload_digest FROM h)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to FROM d""",
+    "op9_chat": f"""
+        WITH c AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '{HOSTILE}' FROM range(2) r(n))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(length('{START}{END}') + length(role) + 2 + length({_ESCAPED}))::BIGINT AS formatted_chars FROM c GROUP BY conv_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express; tests hold the others against brute-force versions."""
+    return dict(SQL)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, slices
 
 #: Pre-tokens whose ids a worker remembers; then it starts afresh. Longer ones aren't remembered.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 120_000, 48
 _FIRST = 256
 _MAP = {b: chr(_FIRST + b) for b in range(256)}
 
@@ -76,20 +76,20 @@ class ByteBpe:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, pattern
-        self._ready = False
+        self._pieces = self._bytes = None
 
     def __getstate__(self):
-        return {"tokens": self.tokens, "pattern": self.pattern, "_ready": False}
+        return {"tokens": self.tokens, "pattern": self.pattern, "_pieces": None, "_bytes": None}
+
+    def _model(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.tokens))
 
     def _prepare(self) -> None:
         self._split = regex.compile(self.pattern).findall
-        self._pieces = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.tokens))
+        self._pieces = self._model()
         self._whole = {t: i for i, t in enumerate(self.tokens)}
-        # the inverse mapping, from the pieces of the model itself
-        self._bytes = [bytes(ord(c) - _FIRST for c in self._pieces.id_to_piece(i)) for i in range(len(self.tokens))]
         self._ids: dict[str, bytes] = {}  # of pre-tokens
         self._words: dict[str, bytes] = {}  # of what stands between two spaces, with the first of them
-        self._ready = True
 
     def _learn(self, pretokens: set[str]) -> dict[str, bytes]:
         """The ids of pre-tokens, as bytes of 32-bit integers."""
@@ -125,7 +125,7 @@ class ByteBpe:
         has to begin a match at each of these, as those of byte-level tokenizers do; then
         the matches of the parts are those of the text, and the ids of a part can be kept.
         """
-        if not self._ready:
+        if self._pieces is None:
             self._prepare()
         words = self._words
         cut = [t.split(" ") if t else [] for t in texts]
@@ -154,8 +154,10 @@ class ByteBpe:
         return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
-        if not self._ready:
-            self._prepare()
+        if self._bytes is None:
+            # the inverse mapping, from the pieces of the model itself
+            model = self._model()
+            self._bytes = [bytes(ord(c) - _FIRST for c in model.id_to_piece(i)) for i in range(len(self.tokens))]
         return b"".join(map(self._bytes.__getitem__, ids))
 
 

@@ -116,3 +116,10 @@ def provenance(answers: DataFrame, base: Relation, row_id: int, question: str) -
     found = answers.where(name(ROW_ID) == row_id).first()
     fields = {c: found[c] for c in answers.columns if c.startswith(f"{question}.")} if found else {}
     return {"row_id": row_id, "source": source.asDict() if source else None, "answer": fields}
+
+
+def match_candidates(df: DataFrame, match: str) -> DataFrame:
+    """(_row_id, right_row_id, p_same, retrieval_score, rank): the candidates of a match as rows."""
+    kind = "array<struct<right_row_id:bigint,p_same:double,retrieval_score:double>>"
+    rows = df.select(name(ROW_ID), F.posexplode(F.from_json(name(f"{match}.candidates"), kind)).alias("rank", "c"))
+    return rows.select(ROW_ID, "c.*", "rank")

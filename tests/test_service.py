@@ -17,7 +17,7 @@ from tabplan.plans.errors import PlanError
 from tabplan.plans.spec import Source, parse_plan
 from tabplan.queries import call, compute, lit, plan_of, project, sort, where
 from tabplan.sources import export as exporting
-from tabplan.sources.catalog import AnswerCache, Catalog
+from tabplan.sources.catalog import AnswerCache, Catalog, ResultStore
 from tabplan.sources.importer import MAX_ROWS, detect_types, import_file, preview, sanitize, sniff
 from tabplan.sources.tables import Resolver
 from tabplan.streaming.jobs import Job, Jobs, Limits, chunk_bounds
@@ -95,6 +95,21 @@ def test_catalog(spark, tmp_path):
         catalog.version(d)
 
 
+def test_result_versions(tmp_path):
+    store = ResultStore(str(tmp_path))
+    first = store.create(PLAN, "d", 1)
+    second = store.override(first, [(0, "q.value", "true")], "seen", "me")
+    third = store.override(second, [(0, "q.value", None)])
+    assert store.cells(first) == [] and store.cells(third) == [(0, "q.value", "true"), (0, "q.value", None)] and store.lineage(third) == [third, second, first]
+    with pytest.raises(PlanError):
+        store.load("nope")
+
+
+def test_candidates_as_rows(spark):
+    df = spark.createDataFrame([(3, '[{"right_row_id":7,"p_same":0.5,"retrieval_score":81.25},{"right_row_id":8,"p_same":null,"retrieval_score":2}]'), (4, "[]")], "_row_id long, `m.candidates` string")
+    assert [tuple(r) for r in results.match_candidates(df, "m").collect()] == [(3, 7, 0.5, 81.25, 0), (3, 8, None, 2.0, 1)]
+
+
 # ---- jobs
 
 ANNOTATE = {"op": "semantic_annotate", "columns": ["text"], "questions": [{"name": "q", "kind": "boolean", "instruction": "yes?", "thresholds": {"mode": "fixed"}}]}

@@ -81,11 +81,11 @@ def _meet(level: int):
 def pivotal_rounding(items: DataFrame, fold: int = FOLD) -> DataFrame:
     """(gid, id, size, one) of all rows of (gid, key, id, size, x) with 0 < x < 1 and size > 0; one is 1 or 0, 1 with probability x.
 
-    Within a group gid, sum(size * one) differs from sum(size * x) by less than one row's
-    size. Rows are dealt to folds of about `fold` rows by hash of key; each fold pairs its
+    Within a group gid, sum(size * one) differs from sum(size * x) by half of one row's
+    size at most. Rows are dealt to folds of about `fold` rows by hash of key; each fold pairs its
     rows, the largest first so that mostly a small one is left, and the folds' residuals go up
-    a reduction tree until each group has a single one, which chance decides. A group of a
-    third of all rows has as many more folds, and none of them is large.
+    a reduction tree until each group has a single one. That one goes to the nearer bound, as
+    chance could put it further off. A group of a third of all rows has as many more folds, and none of them is large.
     """
     nothing = "named_struct('key', cast(null as bigint), 'id', cast(null as bigint), 'size', 0D, 'x', 0D, 'done', cast(array() as array<struct<id:bigint,size:double,one:int>>))"
     now = items.select("gid", F.col("key").cast("long"), F.col("id").cast("long"), F.col("size").cast("double"), F.col("x").cast("double")).where("x > 0 and x < 1 and size > 0")
@@ -100,7 +100,7 @@ def pivotal_rounding(items: DataFrame, fold: int = FOLD) -> DataFrame:
         decided.append(folded.select("gid", F.inline("f.done")))
         now = folded.select("gid", "f.key", "f.id", "f.size", "f.x")
         level += 1
-    decided.append(now.select("gid", "id", "size", (_chance(F.col("key"), F.lit(-1), F.lit(SEED)) < F.col("x")).cast("int").alias("one")))
+    decided.append(now.select("gid", "id", "size", (F.col("x") >= 0.5).cast("int").alias("one")))
     return reduce(DataFrame.unionByName, decided).withColumn("size", F.col("size").cast("long"))
 
 

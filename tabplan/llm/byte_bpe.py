@@ -161,37 +161,43 @@ class ByteBpe:
         return b"".join(map(self._bytes.__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, coder: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_IDS = pa.list_(pa.field("element", pa.int32(), False))
+
+
+def encode_documents(docs: DataFrame, coder: ByteBpe, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids) of each row of docs: the token ids of its whole text, an empty array for null and empty texts.
 
-    Each row stands by itself: repeated rows and ids give as many rows, an empty table none;
-    other columns of docs play no part.
+    With `decoded`, a column of that name has the bytes that the ids decode to, made in the
+    same task, so that the ids needn't go to another one. Each row stands by itself:
+    repeated rows and ids give as many rows, an empty table none; other columns of docs
+    play no part.
     """
     held = docs.sparkSession.sparkContext.broadcast(coder)  # as large as the vocabulary, which no table sways
-    kind = pa.list_(pa.field("element", pa.int32(), False))
-    schema = pa.schema([("id", pa.int64()), ("ids", kind)])
+    names = ["id", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held.value
 
         def made() -> pa.RecordBatch:
-            ends = np.cumsum([0, *map(len, out)], dtype=np.int64).astype(np.int32)
-            flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat, type=kind)], schema=schema)
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int64).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)), type=_IDS)
+            raw = [pa.array([coder.decode(ids.tolist()) for ids in found], pa.binary())] if decoded else []
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), lists, *raw], names=names)
 
-        names, out, size = [], [], 0
+        rows, found, size = [], [], 0
         for part in slices(batches):
-            for name, ids in zip(part.column(0).to_pylist(), coder.encode_all(part.column(1).to_pylist()), strict=True):
-                names.append(name)
-                out.append(ids)
-                size += ids.nbytes
+            for row, ids in zip(part.column(0).to_pylist(), coder.encode_all(part.column(1).to_pylist()), strict=True):
+                rows.append(row)
+                found.append(ids)
+                size += ids.nbytes * (2 if decoded else 1)
                 if size >= BATCH_BYTES:
                     yield made()
-                    names, out, size = [], [], 0
-        if names:
+                    rows, found, size = [], [], 0
+        if rows:
             yield made()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>")
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return read.mapInArrow(run, "id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode_documents(encoded: DataFrame, coder: ByteBpe) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import ByteBpe, decode_documents, encode_documents, load_ranks
+from .byte_bpe import ByteBpe, encode_documents, load_ranks
 from .chat import END, START, format_records, read_formatted, to_records
 from .common import table
 from .embedding_dedup import embedding_components
@@ -29,7 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     coder = ByteBpe(load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    decoded = decode_documents(encode_documents(docs, coder), coder)
+    decoded = encode_documents(docs, coder, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         F.col("id").alias("doc_id"),

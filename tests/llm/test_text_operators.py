@@ -98,7 +98,9 @@ def test_bpe_frames(spark, coder, reference_coder):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.ids == reference_coder.encode_ordinary(texts[r.id] or "") and bytes(r.decoded) == (texts[r.id] or "").encode()
-    assert byte_bpe.encode_documents(docs_of(spark, []), coder).count() == 0
+    at_once = byte_bpe.encode_documents(docs_of(spark, texts), coder, decoded=True).collect()
+    assert sorted((r.id, r.ids, bytes(r.decoded)) for r in at_once) == sorted((r.id, r.ids, bytes(r.decoded)) for r in rows)
+    assert byte_bpe.encode_documents(docs_of(spark, []), coder, decoded=True).count() == 0
     null_id = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     assert byte_bpe.encode_documents(null_id, coder).collect()[0].id is None
 

@@ -45,6 +45,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def apart(found: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """An aggregate that is to be joined back by its key: written first, and broadcast if it is small.
+
+    In one plan, the join would take over the aggregate's partitions, and adaptive execution
+    could not split a hot key's rows on the other side.
+    """
+    return small(materialize(found), rows)
+
+
 def without(df: DataFrame, *names: str) -> list[Column]:
     """The columns of df but for these; names are compared as Spark does, without case."""
     gone = {n.lower() for n in names}

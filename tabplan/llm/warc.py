@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rows, ensure_checkpoint_dir, materialize, slices, small
+from .common import Rows, apart, ensure_checkpoint_dir, materialize, slices, small
 
 # Fixed values of the WARC 1.1 specification and of RFC 4648.
 VERSION = "WARC/1.1"
@@ -35,7 +35,8 @@ def base32(hexadecimal: Column) -> Column:
 
 
 def payload_digest(payload: Column) -> Column:
-    return base32(F.sha1(payload))
+    # bound by a lambda, so that the digest is made once and not for each letter
+    return F.transform(F.array(F.sha1(payload)), base32)[0]
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -48,7 +49,7 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     Records without a key are responses; of a key that repeats, all are responses or none.
     """
     large = headers.where((F.col("payload_bytes") >= least_bytes) & F.col("key").isNotNull())
-    originals = large.groupBy("digest").agg(F.max("key").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    originals = apart(large.groupBy("digest").agg(F.max("key").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     found = headers.join(originals, "digest", "left")
     revisits = (F.col("payload_bytes") >= least_bytes) & (F.col("key") < F.col("original"))
     kind = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
@@ -154,7 +155,8 @@ def with_originals(read: DataFrame) -> DataFrame:
     """
     heads = read.select("key", "url", "record_type", "record_id", "refers_to_id", "refers_to", "digest", "intact", F.octet_length("payload").cast("long").alias("own_bytes"))
     heads = materialize(heads)
-    originals = heads.where("record_type = 'response'").groupBy(F.col("record_id").alias("original_id")).agg(F.max("own_bytes").alias("original_bytes"))
+    asked = heads.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")).distinct()
+    originals = apart(heads.where("record_type = 'response'").join(asked, "record_id").groupBy(F.col("record_id").alias("original_id")).agg(F.max("own_bytes").alias("original_bytes")))
     responses = heads.where("record_type <> 'revisit'").withColumn("payload_bytes", F.col("own_bytes"))
     revisits = heads.where("record_type = 'revisit'").join(originals, F.col("refers_to_id") == F.col("original_id"), "left").withColumn("payload_bytes", F.col("original_bytes"))
     wanted = ["key", "url", "record_type", "record_id", "refers_to", "digest", "payload_bytes", "intact"]
@@ -169,7 +171,7 @@ def deduplicate(rows: DataFrame, least_bytes: int = 0, folder: str | None = None
     """
     folder = folder or f"{ensure_checkpoint_dir(rows.sparkSession)}/warc-{uuid.uuid4().hex}"
     whole = rows.select(F.col("key").cast("long").alias("key"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
-    heads = whole.select("key", payload_digest(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    heads = materialize(whole.select("key", payload_digest(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes")))
     revisits = materialize(resolve(heads, least_bytes).where("record_type = 'revisit'").select(F.col("key").alias("k"), F.col("digest").alias("d"), "refers_to").distinct())
     hashed = whole.select("*", payload_digest(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     known = hashed.join(small(revisits), (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")), "left")

@@ -81,21 +81,23 @@ def annotate(rows: DataFrame, step: Step, judge: Judge, model: str = "rules-1",
     asked_tokens = max(tokens_of(json.dumps(q.signature())) for q in questions)
     base = rows.select(name(ROW_ID), text.alias("payload"), missing.alias("missing"))
     base = base.withColumn("too_long", ~F.col("missing") & (estimated_tokens(F.col("payload")) + asked_tokens > STATE_TOKENS))
-    payloads = base.where("not missing and not too_long").select("payload").distinct()
+    # answers come back by a digest: no long text is a join key, and the rows themselves leave theirs behind
+    base = base.withColumn("digest", F.when(~F.col("missing") & ~F.col("too_long"), F.sha2("payload", 256)))
+    payloads = base.where("digest is not null").groupBy("digest").agg(F.first("payload").alias("payload"))
     keys = [f"__key_{i}" for i in range(len(questions))]
-    keyed = payloads.select("payload", *(cache_key(F.col("payload"), q, model, workspace).alias(k) for q, k in zip(questions, keys, strict=True)))
+    keyed = payloads.select("digest", "payload", *(cache_key(F.col("payload"), q, model, workspace).alias(k) for q, k in zip(questions, keys, strict=True)))
     known = keyed
     if cache is not None:
         for i, k in enumerate(keys):
             known = known.join(cache.select(F.col("key").alias(k), F.col("raw").alias(f"__known_{i}")), k, "left")
         unknown = reduce(lambda a, b: a | b, [F.col(f"__known_{i}").isNull() for i in range(len(keys))])
-        fresh = judge.ask(known.where(unknown).select("payload", *keys), questions)
-        held = known.where(~unknown).select("payload", *keys, *(F.col(f"__known_{i}").alias(raw_name(q)) for i, q in enumerate(questions)))
-        told = held.unionByName(fresh.select("payload", *keys, *(name(raw_name(q)) for q in questions)))
+        fresh = judge.ask(known.where(unknown).select("digest", "payload", *keys), questions)
+        held = known.where(~unknown).select("digest", *keys, *(F.col(f"__known_{i}").alias(raw_name(q)) for i, q in enumerate(questions)))
+        told = held.unionByName(fresh.select("digest", *keys, *(name(raw_name(q)) for q in questions)))
     else:
         fresh = told = judge.ask(keyed, questions)
     entries = reduce(DataFrame.unionByName, [fresh.select(F.col(k).alias("key"), name(raw_name(q)).alias("raw")) for q, k in zip(questions, keys, strict=True)]).where("raw is not null")
-    met = base.join(told.select("payload", *(name(raw_name(q)) for q in questions)), "payload", "left")
+    met = base.drop("payload").join(told.select("digest", *(name(raw_name(q)) for q in questions)), "digest", "left")
     absent = F.lit("skipped" if step.on_missing == "skip" else "missing")
     columns = []
     for q in questions:

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import apart, materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return apart(pairs.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the least of its neighbourhood."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    least = _least(both)
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small
+from .common import apart, materialize, slices, small
 from .graph import connected_components
 
 SEED, SHINGLE, DISTANCE, BITS = 42, 3, 3, 64
@@ -98,7 +98,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(linked_fingerprints(nodes.select("fp"), nodes.count(), distance), "a", "b")
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = apart(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     named = materialize(grouped.join(least, "root").select("fp", "component_id"))
     return rows.join(small(named), "fp").select("id", "fp", "component_id")
 

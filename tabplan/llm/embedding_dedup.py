@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
-from math import ceil, log2, sqrt
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import apart, materialize, slices
 from .graph import connected_components
 
 THRESHOLD, BLOCKS = 0.98, 4
 #: Vectors of a cell that a task compares, in the mean, and pairs it verifies at once.
 CHUNK, PAIRS = 1_024, 20_000
+#: What shipping a copy of a vector costs, in pairs compared.
+ROW_COST = 500
 #: What rounding to single precision may add to a block's squared distance.
 SLACK = 1e-6
 
@@ -37,6 +39,25 @@ def budgets(dim: int, threshold: float, blocks: int = BLOCKS) -> np.ndarray:
     return (2 - 2 * threshold) * np.diff(block_edges(dim, blocks)) / dim
 
 
+def axis_count(most: int) -> int:
+    """On how many components cells are cut, for a largest group of `most` vectors.
+
+    Each axis about doubles the copies of a vector that other cells get, and leaves about
+    0.6 of the pairs; a copy costs as much as ROW_COST pairs. All counts give the same links.
+    """
+    return min(range(13), key=lambda k: most * (1 + (2**k - 1) / 2) * ROW_COST + most * most / 2 * 0.6**k)
+
+
+def _packed(raw: np.ndarray) -> bytes:
+    """Single precision where that loses nothing, as with vectors that were read so."""
+    short = raw.astype(np.float32)
+    return short.tobytes() if (short == raw).all() else raw.tobytes()
+
+
+def _unpacked(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * dim else np.float64).astype(np.float64)
+
+
 def _rotated(vectors: DataFrame) -> DataFrame:
     """(node, dim, raw, rotated): the components and the rotated unit vector in bytes; computed once and kept."""
     names = ["node", "dim", "raw", "rotated"]
@@ -49,7 +70,7 @@ def _rotated(vectors: DataFrame) -> DataFrame:
                 raw = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 turn = known.setdefault(len(raw), rotation(len(raw)) if len(raw) not in known else None)
                 unit = raw / np.abs(raw).max()
-                rows.append((node, len(raw), raw.tobytes(), (turn @ (unit / np.linalg.norm(unit))).astype(np.float32).tobytes()))
+                rows.append((node, len(raw), _packed(raw), (turn @ (unit / np.linalg.norm(unit))).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     return vectors.select("node", "vec").mapInArrow(run, "node long, dim int, raw binary, rotated binary")
@@ -111,9 +132,9 @@ def _compare(threshold: float, blocks: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, copies, side = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
-        raw = np.stack([np.frombuffer(b, np.float64) for b in pdf["raw"]])
-        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
         turned = np.stack([np.frombuffer(b, np.float32) for b in pdf["rotated"]]).astype(np.float64)
+        raw = np.stack([_unpacked(b, turned.shape[1]) for b in pdf["raw"]])
+        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
         norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         dim, own = raw.shape[1], int(pdf["block"].iloc[0])
         edges, limit = block_edges(dim, blocks), budgets(dim, threshold, blocks) + SLACK
@@ -176,17 +197,16 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     same = rows.where("grp is not null").groupBy("grp", "vec").agg(F.min("place").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v1").alias("v1"), F.first("v2").alias("v2"))
     classes = materialize(same)
     most = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    axes = max(1, ceil(log2(max(1, most / CHUNK))))
     heads = classes.select("node", "grp", "copies")
     rotated = materialize(_rotated(classes))
-    cells = materialize(_cells(rotated, axes, threshold, blocks).join(heads.select("node", "grp").join(rotated.select("node", "dim"), "node").select("node", F.concat_ws("/", F.col("dim").cast("string"), "grp").alias("grp")), "node"))
+    cells = materialize(_cells(rotated, axis_count(most), threshold, blocks).join(heads.select("node", "grp").join(rotated.select("node", "dim"), "node").select("node", F.concat_ws("/", F.col("dim").cast("string"), "grp").alias("grp")), "node"))
     tasks = _tasks(cells).join(rotated.select("node", "raw", "rotated"), "node").join(heads.select("node", "copies"), "node")
     found = materialize(tasks.groupBy("grp", "block", "cell", "first", "second").applyInPandas(_compare(threshold, blocks), "node long, links long, root long"))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "member")
     joined = classes.join(counted, "node", "left").join(roots, F.col("node") == F.col("member"), "left")
     known = joined.select("grp", "v1", "v2", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("grp", "v1", "v2", "n_links", "component_id")
+    named = known.join(apart(known.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("grp", "v1", "v2", "n_links", "component_id")
     linked = rows.where("grp is not null").join(named, ["grp", "v1", "v2"]).select("id", "n_links", "component_id")
     alone = rows.where("grp is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))

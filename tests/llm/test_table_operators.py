@@ -171,8 +171,10 @@ def test_embedding_links(spark, monkeypatch):
         v = centres[i % 12] + rnd.standard_normal(16) * rnd.choice([0.0, 0.05, 0.12, 0.6])
         rows.append((1000 + i, [float(np.float32(x)) for x in v * rnd.choice([1, 3])], int(i % 5 == 0)))
     rows += [(1, None, 0), (2, [0.0] * 16, 0), (3, [1.0, None] + [0.0] * 14, 0), (4, [float("nan")] * 16, 0), (5, rows[0][1], None), (6, [], 1), (7, [1.0], 1), (8, [2.0], 1), (9, [-1.0], 1), (10, rows[0][1], rows[0][2])]
-    for chunk in (1024, 7):
+    for chunk, cost, axes in ((1024, 500, 0), (7, 20, 2), (7, 1, 4)):
         monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+        monkeypatch.setattr(embedding_dedup, "ROW_COST", cost)
+        assert embedding_dedup.axis_count(200) >= axes
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS node", "2 AS id", "3 AS vec")
         got = {r.id: r for r in embedding_dedup.embedding_components(df).collect()}
         links = brute_links(rows)

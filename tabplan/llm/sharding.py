@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import apart, materialize, small
 
 SHARDS, ROUNDS = 8, 6
 #: Rows that a task ranks together, in the mean.
@@ -43,7 +43,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
         tally = now.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("c"))
         # on a tie, a shard by hash of the group, so that ties don't crowd the first one
         tie = F.pmod(F.col("shard") + F.pmod(F.xxhash64("grp"), F.lit(shards)), F.lit(shards))
-        best = tally.groupBy("grp").agg(F.max(F.struct("c", tie.alias("tie"), "shard"))["shard"].alias("best"))
+        best = apart(tally.groupBy("grp").agg(F.max(F.struct("c", tie.alias("tie"), "shard"))["shard"].alias("best")))
         asked = materialize(now.join(best, "grp"))
         flows = asked.groupBy("shard", "best").agg(F.count(F.lit(1)).alias("m"))  # at most shards squared rows
         load = flows.groupBy(F.col("shard").alias("at")).agg(F.sum("m").alias("load"))

@@ -254,6 +254,30 @@ def test_cross_entropy_difference(spark):
     assert lm_scoring.cross_entropy_difference(docs_of(spark, []), frame).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [50, 2_000_000])
+def test_cross_entropy_tells_all_words_apart(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+    rnd = random.Random(9)
+    rare = [f"w{i}" for i in range(2_400)]
+    texts = [*HARD, *(" ".join(rare[i : i + 30]) for i in range(0, 2_400, 30)), *(" ".join(rnd.choices(rare, k=40)) for _ in range(40)), "w7 w8", "w7 w9"]
+    target = ["w7 w8 w7 w8", "only here", None]
+    docs, frame = docs_of(spark, texts), spark.createDataFrame([(t,) for t in target], "text string")
+    ids = lm_scoring.Ids(sorted({w.decode() for t in [*texts, *target] for w in lm_scoring.tokens(t)}))
+    assert ids.size > 2_400
+    got = {r.id: r for r in lm_scoring.cross_entropy_difference(docs.unionByName(docs.limit(0)), frame).collect()}
+    of_target, of_all = plain_losses(target, ids), plain_losses(texts, ids)
+    assert sorted(got) == list(range(len(texts)))
+    for i, text in enumerate(texts):
+        cells = [divmod(int(c), ids.size) for c in ids.cells(text)]
+        assert got[i].n_tokens == len(cells)
+        if cells:
+            t, b = (sum(f(*c) for c in cells) / len(cells) for f in (of_target, of_all))
+            assert got[i].ce_target == pytest.approx(t, abs=1e-9) and got[i].ce_background == pytest.approx(b, abs=1e-9) and got[i].score == pytest.approx(t - b, abs=1e-9)
+        else:
+            assert got[i].score is got[i].ce_target is None
+    assert got[len(texts) - 2].score < got[len(texts) - 1].score
+
+
 # ---- the pipeline
 
 

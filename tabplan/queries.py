@@ -200,7 +200,7 @@ def calibrate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MATCH = {"op": "semantic_match", "right": {"dataset_id": "supplier"}, "instruction": "Are both the same company?", "threshold_mode": "fixed"}
-plan("match_blocked", None, "customer", {"op": "limit", "n": 300}, _MATCH | {"left_columns": ["c_name"], "right_columns": ["s_name"], "blocking": {"left": "c_nationkey", "right": "s_nationkey"}, "right_output_columns": ["s_name"]}, project("c_name", "match.right_row_id", "match.score", "match.status", "match.candidates", "match.s_name"))
+plan("match_blocked", None, "customer", _MATCH | {"left_columns": ["c_name"], "right_columns": ["s_name"], "blocking": {"left": "c_nationkey", "right": "s_nationkey"}, "right_output_columns": ["s_name"]}, project("c_name", "match.right_row_id", "match.score", "match.status", "match.candidates", "match.s_name"))
 plan("match_unblocked_topk", None, "nation", _MATCH | {"right": {"dataset_id": "nation"}, "left_columns": ["n_name"], "right_columns": ["n_name"], "candidates_per_row": 3, "right_output_columns": ["n_name"]}, project("n_name", "match.score", "match.candidates", "match.n_name"))
 plan("match_decision", f"SELECT row_number() OVER (ORDER BY match_status) - 1 AS _row_id, * FROM (SELECT 'matched' AS match_status, count(*) AS n, count(*) AS right_rows FROM {base('nation')})", "nation", _MATCH | {"right": {"dataset_id": "nation"}, "left_columns": ["n_name"], "right_columns": ["n_name"], "right_output_columns": ["n_name"]}, aggregate(["match.status"], ("n", "count"), ("right_rows", "count_distinct", "match.right_row_id")))
 

@@ -20,7 +20,7 @@ from tabplan.operators.rowids import dense_ids
 from tabplan.plans.compiler import Compiler, run_plan
 from tabplan.plans.errors import PlanError
 from tabplan.plans.spec import Question, parse_plan
-from tabplan.queries import aggregate, call, compute, lit, plan_of, project, sort, where
+from tabplan.queries import QUERIES, aggregate, call, compute, lit, plan_of, project, sort, where
 from tabplan.results import overrides
 from tabplan.sources.tables import Resolver
 
@@ -245,6 +245,27 @@ def test_match(spark):
     assert {r["match.status"] for r in run(plan_of("l", blocked), resolver, JUDGE).collect()} == {"no_candidates"}
 
 
+def test_match_blocked_matches_every_customer(spark, tmp_path):
+    rnd = random.Random(4)
+    suppliers = [(k, f"{rnd.choice(['Steel', 'Brass', 'Tin'])} works {k % 9}", rnd.choice([None, *range(6)])) for k in range(40)]
+    customers = [(k, s[1].replace(" ", "-") if k % 50 == 0 else f"{rnd.choice(['steel', 'Brass', 'old'])} works {k % 11}", s[2] if k % 50 == 0 else rnd.choice([None, *range(8)])) for k in range(700) for s in [rnd.choice(suppliers)]]
+    rnd.shuffle(customers)
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["_row_id"]: r for r in QUERIES["match_blocked"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(customers)
+    plain = lambda t: t.replace("-", " ").lower()
+    for rid, (_, named, nation) in enumerate(sorted(customers)):
+        found = sorted(((-token_set_ratio(named, s), k, s) for k, s, n in suppliers if n == nation), key=lambda x: x[:2])[:5]
+        r = got[rid]
+        assert r["c_name"] == named
+        assert [(c["right_row_id"], c["retrieval_score"]) for c in json.loads(r["match_candidates"])] == [(k, pytest.approx(-s, abs=1e-3)) for s, k, _ in found]
+        best = next((k for _, k, s in found if plain(s) == plain(named)), None)
+        assert r["match_status"] == ("no_candidates" if not found else "unmatched" if best is None else "matched")
+        assert r["match_right_row_id"] == best and r["match_s_name"] == (suppliers[best][1] if best is not None else None)
+    assert {"matched", "unmatched"} <= {r["match_status"] for k, r in got.items() if k >= 300}
+
+
 def plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

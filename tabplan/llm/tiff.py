@@ -18,6 +18,7 @@ from .common import Rows, slices, without
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
+FILL_ORDER = 266
 COMPRESSIONS = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "c", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
@@ -25,10 +26,18 @@ TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "c", 8: "h", 9: "i"
 MOST_PAGES = 1 << 20
 
 
+#: Bytes with their bits the other way round, for FILL_ORDER 2.
+_REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
 class TiffError(ValueError):
     pass
 
 
+#: What a file or page that can't be decoded raises.
+FAULTS = (TiffError, struct.error, zlib.error, ValueError)
+
+
 class Page(NamedTuple):
     page: int
     width: int
@@ -38,7 +47,7 @@ class Page(NamedTuple):
     compression: str
     predictor: int
     tiled: bool
-    pixels: bytes  # rows from the top, samples side by side, little-endian
+    pixels: bytes  # rows from the top, samples side by side, little-endian; a byte each for samples of under 8 bits
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
@@ -176,6 +185,13 @@ def _unpack(raw: bytes, compression: int, size: int) -> bytes:
     return out[:size]
 
 
+def _spread(block: bytes, bits: int, height: int, width: int, samples: int) -> np.ndarray:
+    """An array (height, width, samples) of samples of 1, 2 or 4 bits, whose rows begin with a byte, the highest bits first."""
+    rows = np.frombuffer(block, np.uint8).reshape(height, -1, 1)
+    found = rows >> np.arange(8 - bits, -1, -bits, dtype=np.uint8) & np.uint8((1 << bits) - 1)
+    return found.reshape(height, -1)[:, : width * samples].reshape(height, width, samples)
+
+
 def _undo_predictor(block: bytes, predictor: int, height: int, width: int, samples: int, dtype: np.dtype) -> np.ndarray:
     """An array (height, width, samples) in native order."""
     if predictor == 3:
@@ -209,7 +225,8 @@ class _Reader:
             raise TiffError("an offset is outside the file")
         return struct.unpack_from(form, self.data, at)
 
-    def directories(self) -> Iterator[dict[int, tuple]]:
+    def directories(self) -> Iterator[dict[int, tuple] | Exception]:
+        """Each directory's fields, or what is wrong with them where the next one can be found nonetheless."""
         at, seen = self.first, set()
         while at and len(seen) < MOST_PAGES:
             if at in seen:
@@ -217,23 +234,34 @@ class _Reader:
             seen.add(at)
             count, at = (self._read("Q", at)[0], at + 8) if self.big else (self._read("H", at)[0], at + 2)
             step, inline, place = (20, 8, "Q") if self.big else (12, 4, "I")
-            tags = {}
-            for k in range(at, at + count * step, step):
-                tag, kind = self._read("H", k, 2)
-                n = self._read(place, k + 4)[0]
-                form = TYPES.get(kind)
-                if form is None:
-                    continue  # fields of unknown types are to be passed over
-                if n > len(self.data):
-                    raise TiffError("a field is longer than the file")
-                value = k + step - inline
-                if struct.calcsize(f"={form}") * n > inline:
-                    value = self._read(place, value)[0]
-                tags[tag] = self._read(form, value, n) if n else ()
+            try:
+                tags = self._fields(range(at, at + count * step, step), inline, place)
+            except FAULTS as e:
+                self._read(place, at + count * step)
+                tags = e
             yield tags
             at = self._read(place, at + count * step)[0]
 
-    def page(self, number: int, tags: dict[int, tuple]) -> Page:
+    def _fields(self, entries: range, inline: int, place: str) -> dict[int, tuple]:
+        tags = {}
+        for k in entries:
+            tag, kind = self._read("H", k, 2)
+            n = self._read(place, k + 4)[0]
+            form = TYPES.get(kind)
+            if form is None:
+                continue  # fields of unknown types are to be passed over
+            if n > len(self.data):
+                raise TiffError("a field is longer than the file")
+            value = k + entries.step - inline
+            if struct.calcsize(f"={form}") * n > inline:
+                value = self._read(place, value)[0]
+            tags[tag] = self._read(form, value, n) if n else ()
+        return tags
+
+    def page(self, number: int, tags: dict[int, tuple] | Exception) -> Page:
+        if isinstance(tags, Exception):
+            raise tags
+
         def one(tag: int, default: Any = None) -> Any:
             got = tags.get(tag) or ((default,) if default is not None else None)
             if got is None:
@@ -243,9 +271,12 @@ class _Reader:
         width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
         bits, compression, predictor, planes = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
         kind = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1))
-        if kind is None or bits not in (8, 16, 32, 64) or len({*tags.get(BITS, (bits,))}) > 1 or kind == "f" and bits == 8:
+        narrow = bits in (1, 2, 4)
+        if kind is None or not narrow and bits not in (8, 16, 32, 64) or len({*tags.get(BITS, (bits,))}) > 1 or kind == "f" and bits == 8 or narrow and kind != "u":
             raise TiffError(f"samples of {tags.get(BITS, (1,))} bits are not supported")
-        dtype = np.dtype(f"{self.order}{kind}{bits // 8}")
+        if narrow and predictor != 1:
+            raise TiffError(f"predictor {predictor} is not supported here")
+        dtype = np.dtype(f"{self.order}{kind}{-(-bits // 8)}")
         tiled = TILE_OFFSETS in tags
         across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
         offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
@@ -255,7 +286,7 @@ class _Reader:
         apart = planes == 2
         if len(offsets) < columns * rows * (samples if apart else 1) or len(counts) < len(offsets):
             raise TiffError("strips or tiles are missing")
-        if width * height * samples * dtype.itemsize > 1400 * (sum(counts) + 64):
+        if -(-width * samples * bits // 8) * height > 1400 * (sum(counts) + 64):
             raise TiffError("more samples than its strips or tiles can hold")
         image = np.empty((height, width, samples), dtype.newbyteorder("<"))
         for i in range(columns * rows * (samples if apart else 1)):
@@ -265,7 +296,11 @@ class _Reader:
             if offsets[i] + counts[i] > len(self.data):
                 raise TiffError("a strip or tile is outside the file")
             raw = self.data[offsets[i] : offsets[i] + counts[i]]
-            block = _undo_predictor(_unpack(raw, compression, tall * across * deep * dtype.itemsize), predictor, tall, across, deep, dtype)
+            if narrow:
+                raw = raw.translate(_REVERSED) if one(FILL_ORDER, 1) == 2 else raw
+                block = _spread(_unpack(raw, compression, tall * -(-across * deep * bits // 8)), bits, tall, across, deep)
+            else:
+                block = _undo_predictor(_unpack(raw, compression, tall * across * deep * dtype.itemsize), predictor, tall, across, deep, dtype)
             part = image[top : top + tall, left : left + across, plane : plane + 1] if apart else image[top : top + tall, left : left + across]
             part[...] = block[: part.shape[0], : part.shape[1]]
         return Page(number, width, height, samples, bits, COMPRESSIONS[compression], predictor, tiled, image.tobytes())
@@ -278,6 +313,20 @@ def read_pages(data: bytes) -> Iterator[Page]:
         yield reader.page(number, tags)
 
 
+def pages_or_faults(data: bytes) -> Iterator[Page | str]:
+    """As read_pages, with what is wrong in the place of a page that can't be decoded, and last where the walk can't go on."""
+    try:
+        reader = _Reader(data)
+        for number, tags in enumerate(reader.directories()):
+            try:
+                found = reader.page(number, tags)
+            except FAULTS as e:
+                found = f"page {number}: {e}"
+            yield found
+    except FAULTS as e:
+        yield str(e)
+
+
 def write_tiff(pages: list[np.ndarray], compression: str = "deflate", predictor: int = 2, rows: int = 1024, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
     """A file of grey (height, width) or (height, width, samples) pages of 8- or 16-bit samples."""
     code = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}[compression]
@@ -354,8 +403,9 @@ def tiff_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page of each file: the other columns of files, the media, and the page's.
 
     page counts from 0; pixels are the decoded samples, rows from the top, little-endian;
-    mean is that of the samples as unsigned integers. A file that can't be read, null and empty ones too, gives
-    one row after those of its readable pages, with the reason in `error` and null in the rest. Columns of files
+    mean is that of the samples as unsigned integers. A page that can't be decoded gives a row in its place with
+    its number and the reason in `error` and null in the rest, and the walk goes on; a file whose directories can't be
+    walked further, null and empty ones too, gives such a row after those of its pages. Columns of files
     that bear a name of a page's column, in any case, are replaced. An empty table gives an
     empty one.
     """
@@ -378,15 +428,15 @@ def tiff_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*source.columns, *found.columns], names=[*part.schema.names, *names])
 
             for i, media in enumerate(part.column(place)):
-                try:
-                    for p in read_pages(media.as_py() or b""):
-                        form = np.uint8 if p.bits == 8 else np.dtype(f"<u{p.bits // 8}")
-                        at.append(i)
-                        if out.add((*p, float(np.frombuffer(p.pixels, form).mean()), None), 2 * len(p.pixels)):
-                            yield from give()
-                except (TiffError, struct.error, zlib.error, ValueError) as e:
+                for p in pages_or_faults(media.as_py() or b""):
                     at.append(i)
-                    out.add((*[None] * 10, str(e)))
+                    if isinstance(p, str):
+                        full = out.add((*[None] * 10, p))
+                    else:
+                        form = np.uint8 if p.bits <= 8 else np.dtype(f"<u{p.bits // 8}")
+                        full = out.add((*p, float(np.frombuffer(p.pixels, form).mean()), None), 2 * len(p.pixels))
+                    if full:
+                        yield from give()
             yield from give()
 
     return kept.mapInArrow(run, empty.schema)

@@ -72,6 +72,45 @@ def test_broken_files_keep_their_rows(spark):
     assert {r.k for r in got if r.page == 0} == {4, 6} and len(got) == 8
 
 
+def narrow_tiff(image, bits, order="<", compression="none", fill=1):
+    """A file of one grey page of samples of 1, 2 or 4 bits, packed by strings of digits."""
+    lines = ["".join(f"{v:0{bits}b}" for v in row) for row in image.tolist()]
+    raw = b"".join(int(line.ljust(-(-len(line) // 8) * 8, "0"), 2).to_bytes(-(-len(line) // 8), "big") for line in lines)
+    data = bytearray(tiff.write_tiff([np.frombuffer(raw, np.uint8).reshape(len(lines), -1)], compression, predictor=1, order=order))
+    if fill == 2:
+        data[8 : 8 + len(raw)] = bytes(int(f"{b:08b}"[::-1], 2) for b in raw)
+    form, at = f"{order}HHI", struct.unpack_from(f"{order}I", data, 4)[0]
+    for k in range(at + 2, at + 2 + 12 * struct.unpack_from(f"{order}H", data, at)[0], 12):
+        tag = struct.unpack_from(f"{order}H", data, k)[0]
+        if tag == tiff.WIDTH:
+            struct.pack_into(f"{order}I", data, k + 8, image.shape[1])
+        elif tag == tiff.BITS:
+            struct.pack_into(f"{order}H", data, k + 8, bits)
+        elif tag == tiff.PHOTOMETRIC:  # of no use to the reader
+            struct.pack_into(f"{form}H", data, k, 266, 3, 1, fill)
+    return bytes(data)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize(("order", "compression", "fill"), [("<", "none", 1), (">", "packbits", 1), ("<", "deflate", 1), ("<", "none", 2)])
+def test_narrow_samples(bits, order, compression, fill):
+    image = np.random.default_rng(bits).integers(0, 1 << bits, (5, 13), np.uint8)
+    (page,) = tiff.read_pages(narrow_tiff(image, bits, order, compression, fill))
+    assert page.pixels == image.tobytes() and (page.bits, page.width, page.height) == (bits, 13, 5)
+
+
+def test_pages_after_a_bad_one_keep_their_rows(spark):
+    pages = [np.full((3, 4), v, np.uint8) for v in range(4)]
+    data = bytearray(tiff.write_tiff(pages, "none", 1))
+    at = struct.unpack_from("<I", data, 4)[0]
+    for bad in (tiff.COMPRESSION, tiff.STRIP_OFFSETS):  # of the pages 1 and 2
+        at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
+        k = next(k for k in range(at + 2, at + 200, 12) if struct.unpack_from("<H", data, k)[0] == bad)
+        struct.pack_into("<II", data, k + 4, *((1, 99) if bad == tiff.COMPRESSION else (1 << 30, 0)))
+    got = tiff.tiff_pages(spark.createDataFrame([(1, bytes(data)), (2, narrow_tiff(np.eye(9, dtype=np.uint8), 1))], "k int, media binary")).collect()
+    assert [(r.k, r.page, r.mean, r.error and r.error[:7]) for r in got] == [(1, 0, 0.0, None), (1, None, None, "page 1:"), (1, None, None, "page 2:"), (1, 3, 3.0, None), (2, 0, pytest.approx(1 / 9), None)]
+
+
 def test_stored_payloads(spark):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)]
     got = tiff.tiff_pages(tiff.store_payloads(docs_of(spark, rows))).collect()

@@ -22,8 +22,6 @@ FILL_ORDER = 266
 COMPRESSIONS = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "c", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
-#: Pages of one file, so that directories that point at each other end.
-MOST_PAGES = 1 << 20
 
 
 #: Bytes with their bits the other way round, for FILL_ORDER 2.
@@ -228,7 +226,7 @@ class _Reader:
     def directories(self) -> Iterator[dict[int, tuple] | Exception]:
         """Each directory's fields, or what is wrong with them where the next one can be found nonetheless."""
         at, seen = self.first, set()
-        while at and len(seen) < MOST_PAGES:
+        while at:
             if at in seen:
                 raise TiffError("directories form a loop")
             seen.add(at)

@@ -111,6 +111,13 @@ def test_pages_after_a_bad_one_keep_their_rows(spark):
     assert [(r.k, r.page, r.mean, r.error and r.error[:7]) for r in got] == [(1, 0, 0.0, None), (1, None, None, "page 1:"), (1, None, None, "page 2:"), (1, 3, 3.0, None), (2, 0, pytest.approx(1 / 9), None)]
 
 
+def test_all_directories_are_walked():
+    n = (1 << 20) + 5
+    links = np.zeros(n, np.dtype([("fields", "<u2"), ("next", "<u4")]))
+    links["next"][:-1] = 8 + 6 * np.arange(1, n)
+    assert sum(1 for _ in tiff._Reader(b"II*\0\x08\0\0\0" + links.tobytes()).directories()) == n
+
+
 def test_stored_payloads(spark):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)]
     got = tiff.tiff_pages(tiff.store_payloads(docs_of(spark, rows))).collect()

@@ -44,16 +44,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(ends)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of each row of docs, from its whole text; null and blank texts have fingerprint 0."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(id, fp) of each row of docs, from its whole text, and with `hashed` the text's hash; null and blank texts have fingerprint 0."""
+    more = [F.xxhash64(text_col).alias("text_hash")] if hashed else []
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), *(("text_hash", pa.int64()) for _ in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
             fps = [fingerprint(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), *part.columns[2:]], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
 
 
 def block_count(n: int, distance: int = DISTANCE) -> int:
@@ -94,20 +95,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bear one name; rows without an id take part, and a component of such rows only has a
     null component_id. Other columns of docs play no part. An empty table gives an empty one.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col))
+    return components_of(fingerprints(docs, id_col, text_col), distance).select("id", "fp", "component_id")
+
+
+def components_of(found: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The rows of fingerprints() with their component_id."""
+    rows = materialize(found)
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(linked_fingerprints(nodes.select("fp"), nodes.count(), distance), "a", "b")
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = apart(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     named = materialize(grouped.join(least, "root").select("fp", "component_id"))
-    return rows.join(small(named), "fp").select("id", "fp", "component_id")
+    return rows.join(small(named), "fp")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, less all documents but the one of least id of each component; columns stay as they are.
 
-    Rows without an id can't be named, and stay; rows that share an id stay or go together.
+    Rows without an id can't be named, and stay; rows that share an id and a text stay or go
+    together, those of unlike texts each for itself.
     """
-    found = simhash_components(docs, id_col, text_col)
-    gone = materialize(found.where("id is not null and id <> component_id").select(F.col("id").alias("__gone")).distinct())
-    return docs.join(small(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    found = components_of(fingerprints(docs, id_col, text_col, hashed=True))
+    gone = materialize(found.where("id is not null and id <> component_id").select(F.col("id").alias("__gone"), F.col("text_hash").alias("__text")).distinct())
+    return docs.join(small(gone), (docs[id_col].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__text")), "left_anti")

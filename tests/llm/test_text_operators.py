@@ -164,6 +164,12 @@ def test_simhash_components(spark):
     assert simhash.keep_one_each(unnamed).count() == 4
 
 
+def test_unlike_texts_of_one_id_are_kept_each_for_itself(spark):
+    rows = [(1, "a b c d"), (5, "A b c d"), (5, "wholly other words"), (5, None), (0, ""), (6, "wholly other words")]
+    kept = simhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(0, ""), (1, "a b c d"), (5, "wholly other words")]
+
+
 # ---- toxicity
 
 

@@ -115,7 +115,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty one.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = materialize(read.withColumn("key", F.coalesce("id", F.monotonically_increasing_id())))
+    return _mix(materialize(read.withColumn("key", F.coalesce("id", F.monotonically_increasing_id()))), weights, share, most)
+
+
+def _mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """mix_sources of materialized rows (id, source, size, key); chance hangs on the keys."""
     targets = materialize(source_targets(rows, weights, share, most))
     rated = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     rated = small(rated.select(F.col("source").alias("s"), "gid", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("x")), 50_000)
@@ -127,11 +131,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rounded.join(named, "gid").select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs, each row as often as the mix takes it; columns stay as they are.
 
-    Rows that share an id, or have none, share one decision: the largest of theirs.
+    Each row has a decision of its own, those that share an id or have none too: rows are
+    numbered and written first, and copies joined by number.
     """
-    plan = mix_sources(docs, id_col, **options).groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = docs.join(small(materialize(plan)), docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__id", "__copies", "__copy")
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    read = numbered.select(F.col("__row").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(F.col(id_col).cast("long"), "__row").alias("key"))
+    plan = _mix(materialize(read), **options).where("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies"))
+    taken = numbered.join(small(materialize(plan)), F.col("__row") == F.col("__id"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__row", "__id", "__copies", "__copy")

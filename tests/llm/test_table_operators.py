@@ -176,6 +176,20 @@ def test_mixing_meets_targets(spark):
     assert all(counts[i] == n for i, n in copies.items())
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_that_share_an_id_meet_targets(spark, shared):
+    rnd = random.Random(12)
+    rows = [(shared, " ".join("w" * rnd.randrange(1, 60)), rnd.choice("abc")) for _ in range(600)] + [(1000 + i, "x y z", "b") for i in range(50)]
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+        largest[s] = max(largest[s], len(t.split()))
+    for r in mixing.mix_documents(docs_of(spark, rows)).collect():
+        taken[r.source] += len(r.text.split())
+    for s, target in filled(sizes).items():
+        assert abs(taken[s] - target) <= largest[s] / 2 + 1e-6
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
     assert [r.copies for r in mixing.mix_sources(docs_of(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]

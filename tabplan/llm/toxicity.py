@@ -22,6 +22,8 @@ POSITIVES, UNLABELLED = 1_500, 5_000
 LEAST_ROWS = 4
 #: Words of which a worker remembers the weight; then it starts afresh.
 REMEMBERED = 400_000
+#: Parts that the fitting rows are dealt to, each scored by a classifier that was fitted on the others.
+PARTS = 5
 FOLDS = 5
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest parts words.
 _CLEAN = bytes(ord(chr(b).lower()) if b > 127 or chr(b).isalnum() and b > 64 else b if chr(b).isdigit() and b < 128 else 32 for b in range(128)) + bytes(range(128, 256))
@@ -92,12 +94,26 @@ class _Matrix:
         return self.idx[at], self.val[at], np.repeat(np.arange(len(chosen)), size)
 
 
-def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: int, batch: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
-    """Minimise the non-negative risk pi R_P(+) + max(0, R_U(-) - pi R_P(-)) by Adam, with the logistic loss.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def pu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(positive risk, corrected negative risk, and what a step goes down, by each z of zp and of zu times their numbers).
 
-    While the corrected negative risk of a batch is below zero, the step climbs out of it
-    instead, as non-negative PU learning asks.
+    With the logistic loss, the risks are pi R_P(+) and R_U(-) - pi R_P(-). A step goes down
+    their sum, but while the second is below zero, as no true risk can be, out of that alone.
     """
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    # derivatives: of log(1 + e^-z) it is sigmoid(z) - 1, of log(1 + e^z) it is sigmoid(z)
+    if negative >= 0:
+        return positive, negative, prior * (_sigmoid(zp) - 1) - prior * _sigmoid(zp), _sigmoid(zu)
+    return positive, negative, prior * _sigmoid(zp), -_sigmoid(zu)
+
+
+def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: int, batch: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
+    """Minimise the non-negative risk pi R_P(+) + max(0, R_U(-) - pi R_P(-)) by Adam, in batches."""
     rows = np.bincount(np.concatenate([np.unique(i) for i, _ in positive + unlabelled]), minlength=FEATURES)
     positive, unlabelled = ([(i[keep], v[keep]) for i, v in side for keep in [rows[i] >= LEAST_ROWS]] for side in (positive, unlabelled))
     p, u, rng = _Matrix(positive), _Matrix(unlabelled), np.random.default_rng(seed)
@@ -105,7 +121,6 @@ def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: i
     p.idx, u.idx = back[: len(p.idx)], back[len(p.idx) :]
     w, m, v = (np.zeros(len(used) + 1) for _ in range(3))  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     steps, t = max(1, -(-len(unlabelled) // batch)), 0
     for epoch in range(epochs):
         order = rng.permutation(len(unlabelled))
@@ -118,13 +133,7 @@ def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: i
                 idx, val, row = matrix.take(rows)
                 z = np.bincount(row, val * w[idx], len(rows)) + w[-1]
                 sides.append((idx, val, row, z, len(rows)))
-            zp, zu = sides[0][3], sides[1][3]
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            # derivatives: of log(1 + e^-z) it is sigmoid(z) - 1, of log(1 + e^z) it is sigmoid(z)
-            if negative >= 0:
-                dp, du = prior * (sigmoid(zp) - 1) - prior * sigmoid(zp), sigmoid(zu)
-            else:
-                dp, du = prior * sigmoid(zp), -sigmoid(zu)
+            _, _, dp, du = pu_risk(sides[0][3], sides[1][3], prior)
             for (idx, val, row, _, n), d in zip(sides, (dp, du), strict=True):
                 grad += np.bincount(idx, val * (d / n)[row], len(w))
                 grad[-1] += d.mean()
@@ -138,26 +147,36 @@ def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: i
     return weights, w[-1]
 
 
-def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Classifier:
-    """The mean of two classifiers, each fitted on half of the rows, with the bias set by the other half.
+def parts(positive: list[tuple], unlabelled: list[tuple], most: int = PARTS) -> tuple[np.ndarray, np.ndarray, int]:
+    """(part of each positive row, of each unlabelled one, number of parts): rows of one text are in one part, on whichever side they stand."""
+    of: dict[bytes, int] = {}
+    place = [[of.setdefault(i.tobytes() + v.tobytes(), len(of)) for i, v in side] for side in (positive, unlabelled)]
+    n = max(1, min(most, len(set(place[0])), len(of)))
+    return np.array(place[0], int) % n, np.array(place[1], int) % n, n
+
+
+def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.15, decay: float = 1e-3, seed: int = 7) -> Classifier:
+    """The mean of PARTS classifiers, each fitted on all rows but those of one part, whose scores set the bias.
 
-    From the scores of rows that the fitting has not seen, the threshold is taken that
-    maximises recall^2 / share of unlabelled rows above it, which needs no negative labels,
-    among those with at most 1.25 times the prior of these rows above them; there, the score
-    is 1/2. Without positives, nothing is toxic.
+    A text that stands on both sides, or several times, is in one part, so that no classifier
+    scores what it was fitted on. From these scores, the threshold is taken that maximises
+    recall^2 / share of unlabelled rows above it, which needs no negative labels, among those
+    with at most the prior's share above them; there, the score is 1/2. With fewer than two
+    different positive texts, or nothing unlabelled to hold them against, nothing is toxic.
     """
-    if len(positive) < 2 or len(unlabelled) < 2:
+    in_p, in_u, n = parts(positive, unlabelled)
+    if n < 2 or any(not (in_u != k).any() for k in range(n)):
         return Classifier(np.zeros(FEATURES), -20.0)
     weights, bias, zp, zu = np.zeros(FEATURES), 0.0, [], []
-    for half in (0, 1):
-        w, b = _fit(positive[half::2], unlabelled[half::2], prior, epochs, batch, rate, decay, seed)
-        weights, bias = weights + w / 2, bias + b / 2
-        zp += [b + float(w[i] @ v) for i, v in positive[1 - half :: 2]]
-        zu += [b + float(w[i] @ v) for i, v in unlabelled[1 - half :: 2]]
+    for k in range(n):
+        w, b = _fit([r for r, at in zip(positive, in_p, strict=True) if at != k], [r for r, at in zip(unlabelled, in_u, strict=True) if at != k], prior, epochs, batch, rate, decay, seed)
+        weights, bias = weights + w / n, bias + b / n
+        for z, side, where in ((zp, positive, in_p), (zu, unlabelled, in_u)):
+            z += [b + float(w[i] @ v) for (i, v), at in zip(side, where, strict=True) if at == k]
     zp, zu = np.sort(zp), np.sort(zu)
     recall = 1 - np.arange(len(zp)) / len(zp)
     share = (len(zu) - np.searchsorted(zu, zp) + 1) / (len(zu) + 1)
-    merit = np.where(share <= max(1.25 * prior, share.min()), recall**2 / share, 0)
+    merit = np.where(share <= max(prior, share.min()), recall**2 / share, 0)
     best = zp[merit.argmax()]
     below = zu[zu < best]
     return Classifier(weights, bias - (best + (below[-1] if len(below) else best)) / 2)
@@ -184,13 +203,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     The class prior is the share of toxic rows among all training labels. Of these rows at
     most `positives` and `unlabelled` are used, those of least hash, so that a rerun takes
     the same ones; the driver gets their features only. Null ids and labels teach nothing;
-    with repeated labels of one id, it is toxic if any says so.
+    with repeated labels of one id, it is toxic if any says so. Without toxic labels nothing
+    is toxic, and if all labels are, everything is.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic is not null")
     known = known.where(~held_out("__id")).groupBy("__id").agg((F.max("toxic") > 0).alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
     if not toxic or toxic == n:
-        return fit_nnpu([], [], 0.5)
+        return Classifier(np.zeros(FEATURES), 20.0 if toxic else -20.0)
     mark = F.xxhash64("__id")
     chosen = known.where("toxic").orderBy(mark, "__id").limit(positives).select("__id", F.lit(True).alias("toxic"))
     others = known.orderBy(F.xxhash64("__id", F.lit("u")), "__id").limit(unlabelled).select("__id", F.lit(False).alias("toxic"))
@@ -229,5 +249,3 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model_docs: DataFrame | None
     """docs, less those that score at least `threshold`; columns stay as they are."""
     scored = score_texts(docs, train(docs if model_docs is None else model_docs, labels), output="__toxic_score")
     return scored.where(F.col("__toxic_score") < threshold).drop("__toxic_score")
-
-

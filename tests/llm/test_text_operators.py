@@ -215,6 +215,46 @@ def test_toxicity_edges(spark):
     assert toxicity.score_texts(clash, model, text_col="score").columns == ["doc_id", "score"]
 
 
+def test_all_labels_toxic(spark):
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(len(HARD))], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, HARD)
+    assert all(r.score > 0.5 for r in toxicity.score_texts(docs, toxicity.train(docs, labels)).collect())
+
+
+@pytest.mark.parametrize("shift", [-3.0, 0.0, 4.0])
+def test_risk_and_its_gradient(shift):
+    rnd = np.random.default_rng(3)
+    zp, zu, prior = rnd.normal(shift, 2, 7), rnd.normal(-1, 2, 11), 0.3
+
+    def plain(zp, zu):
+        """The two risks by the loss's definition, a row at a time."""
+        loss = lambda z, y: math.log(1 + math.exp(-y * z))
+        return prior * sum(loss(z, 1) for z in zp) / len(zp), sum(loss(z, -1) for z in zu) / len(zu) - prior * sum(loss(z, -1) for z in zp) / len(zp)
+
+    positive, negative, dp, du = toxicity.pu_risk(zp, zu, prior)
+    assert (positive, negative) == pytest.approx(plain(zp, zu))
+    goes_down = (lambda p, u: sum(plain(p, u))) if negative >= 0 else (lambda p, u: -plain(p, u)[1])
+    for side, d in ((0, dp), (1, du)):
+        for k in range(len((zp, zu)[side])):
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = [zp.copy(), zu.copy()]
+                moved[side][k] += step
+                ends.append(goes_down(*moved))
+            assert d[k] / len(d) == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-7)
+    assert (negative < 0) == (shift == 4.0)
+
+
+def test_no_text_is_in_two_parts():
+    rows = [(np.array([k % 9]), np.array([1.0], np.float32)) for k in range(40)]
+    in_p, in_u, n = toxicity.parts(rows[:12], rows[5:])
+    of = {}
+    for (i, _), at in zip(rows[:12] + rows[5:], [*in_p, *in_u], strict=True):
+        assert of.setdefault(int(i[0]), at) == at
+    assert n == 5 and set(in_p) == set(in_u) == set(range(5))
+    assert toxicity.fit_nnpu(rows[:1], rows, 0.5).score("a") < 0.5 and toxicity.fit_nnpu(rows[:3], rows[:1], 0.5).score("a") < 0.5
+
+
 def test_nnpu_needs_no_negative_labels():
     rnd = np.random.default_rng(0)
     rows = [([int(c) * 7 + 1, int(rnd.integers(100, 200))], [1.0, 0.3]) for c in rnd.integers(0, 2, 600)]

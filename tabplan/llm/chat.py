@@ -21,24 +21,39 @@ LEARNED = "assistant"
 # ---- schema fingerprints ----------------------------------------------------------------
 
 
+_SPECIAL = re.compile(r"[.\[\]{}\\]")
+
+
+def _step(key: str) -> str:
+    """A field's name in a path: what paths are made of gets a backslash, and so does an empty name."""
+    return _SPECIAL.sub(r"\\\g<0>", key) or "\\"
+
+
 def nested_paths(value: Any, path: str = "") -> set[str]:
-    """The paths of all fields, with [] for the elements of an array; values and their types don't matter."""
-    if isinstance(value, dict):
-        return set().union(*(nested_paths(v, f"{path}.{k}" if path else k) for k, v in value.items())) if value else {path + "{}"}
-    if isinstance(value, list):
-        return set().union(*(nested_paths(v, path + "[]") for v in value)) if value else {path + "[]"}
-    return {path}
+    """The paths of all fields, with [] for the elements of an array; values and their types don't matter. However deep a value is nested, the stack isn't."""
+    found, left = set(), [(path, value)]
+    while left:
+        path, value = left.pop()
+        if isinstance(value, dict) and value:
+            left += [(f"{path}.{_step(k)}" if path else _step(k), v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            left += [(path + "[]", v) for v in value]
+        else:
+            found.add(path + ("{}" if isinstance(value, dict) else "[]" if isinstance(value, list) else ""))
+    return found
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 class Mapping(NamedTuple):
     """How records of one layout become turns; a declaration, not code.
 
     parts: (role, names of fields whose texts are joined by an empty line) in order; or
-    messages: (the array's name, the role's field, the text's field).
+    messages: (the array's name, the role's field, the text's field). Fields of `ignored`
+    names, on the top level, tell nothing of the layout, whatever they hold. `roles` renames
+    roles; those that it doesn't name stay.
     """
 
     name: str
@@ -46,6 +61,8 @@ class Mapping(NamedTuple):
     optional: tuple[str, ...] = ()
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
     messages: tuple[str, str, str] | None = None
+    ignored: tuple[str, ...] = ("id", "source", "metadata")
+    roles: tuple[tuple[str, str], ...] = ()
 
     def layouts(self) -> Iterator[set[str]]:
         """All sets of paths that the mapping serves."""
@@ -53,7 +70,8 @@ class Mapping(NamedTuple):
             yield {*self.required, *(p for i, p in enumerate(self.optional) if bits >> i & 1)}
 
 
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "prompter": "user", "model": "assistant"}
+#: Names that layouts with speakers of their own give to the two sides.
+SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("prompter", "user"), ("model", "assistant"))
 MAPPINGS = (
     Mapping("prompt", ("prompt", "completion"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt_response", ("prompt", "response"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -61,38 +79,70 @@ MAPPINGS = (
     Mapping("question", ("question", "answer"), ("context",), (("user", ("context", "question")), ("assistant", ("answer",)))),
     Mapping("messages", ("messages[].role", "messages[].content"), (), messages=("messages", "role", "content")),
     Mapping("no_messages", ("messages[]",), (), messages=("messages", "role", "content")),
-    Mapping("shared", ("conversations[].from", "conversations[].value"), (), messages=("conversations", "from", "value")),
+    Mapping("shared", ("conversations[].from", "conversations[].value"), (), messages=("conversations", "from", "value"), roles=SPEAKERS),
     Mapping("turns", ("turns[].role", "turns[].text"), (), messages=("turns", "role", "text")),
 )
 
 
-def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
-    found: dict[str, Mapping] = {}
-    for m in mappings:
-        for paths in m.layouts():
-            if (same := found.setdefault(fingerprint(paths), m)) is not m:
-                raise ValueError(f"mappings {same.name} and {m.name} serve the same layout")
-    return found
+class Registry:
+    """Mappings by the fingerprints of the layouts that they serve."""
+
+    def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
+        self.known: dict[str, Mapping] = {}
+        for m in mappings:
+            for paths in m.layouts():
+                if (same := self.known.setdefault(fingerprint(paths), m)) is not m:
+                    raise ValueError(f"mappings {same.name} and {m.name} serve the same layout")
+        self.ignored = {n for m in mappings for n in m.ignored}
+
+    def select(self, record: dict) -> tuple[str, Mapping | None]:
+        """(the record's fingerprint, the mapping for it): that of all its fields, or without those that a mapping ignores."""
+        whole = fingerprint(nested_paths(record))
+        if (found := self.known.get(whole)) is None and not self.ignored.isdisjoint(record):
+            bare = self.known.get(fingerprint(nested_paths({k: v for k, v in record.items() if k not in self.ignored})))
+            if bare is not None and all(k in bare.ignored for k in record if k in self.ignored):
+                found = bare
+        return whole, found
 
 
 def as_text(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def to_turns(record: Any, known: dict[str, Mapping]) -> tuple[str | None, list[tuple[str, str]]]:
-    """(the mapping's name or None, the turns) of a parsed record. Null texts count as empty; parts without any text make no turn but for those required."""
-    mapping = known.get(fingerprint(nested_paths(record))) if isinstance(record, dict) else None
-    if mapping is None:
-        return None, []
+def to_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
+    """The turns of a parsed record; ValueError where its values are no turns, as a message that is a mere text.
+
+    Null texts count as empty; parts without any text make no turn but for those required.
+    """
     if mapping.messages:
         array, role, text = mapping.messages
-        return mapping.name, [(ROLES.get(r := as_text(m.get(role)), r), as_text(m.get(text))) for m in record[array]]
+        if not isinstance(record[array], list) or not all(isinstance(m, dict) for m in record[array]):
+            raise ValueError(f"{array} holds what is no message")
+        roles = dict(mapping.roles)
+        return [(roles.get(r := as_text(m.get(role)), r), as_text(m.get(text))) for m in record[array]]
     turns = []
     for role, names in mapping.parts:
         texts = [as_text(record[n]) for n in names if n in record]
         if any(texts) or any(n in mapping.required for n in names):
             turns.append((role, "\n\n".join(t for t in texts if t)))
-    return mapping.name, turns
+    return turns
+
+
+def parse_record(text: str | None) -> dict:
+    """The JSON object of a record; ValueError says why it is none. Halves of surrogate pairs, which UTF-8 can't hold, make it none."""
+    if text is None:
+        raise ValueError("null")
+    try:
+        record = json.loads(text)
+        if "\\u" in text:
+            json.dumps(record, ensure_ascii=False).encode()
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    except UnicodeEncodeError:
+        raise ValueError("half of a surrogate pair") from None
+    if not isinstance(record, dict):
+        raise ValueError("no object")
+    return record
 
 
 # ---- the template -------------------------------------------------------------------------
@@ -159,37 +209,53 @@ def to_records(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
 
 def format_records(records: DataFrame, id_col: str = "id", record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id, layout, fingerprint, formatted, mask) of each record, a text of JSON.
-
-    The hash of a record's nested field paths selects the mapping that makes its turns.
-    Records of no known layout, of broken JSON and null ones keep their row, with a null
-    layout and formatted; a new layout asks for a mapping, not for code. mask holds
-    begin and end, in code points, of each text that is to be learned. Repeated rows stay
-    apart; other columns play no part; an empty table gives an empty one.
+    """(id, layout, fingerprint, formatted, mask, error) of each record, a text of JSON.
+
+    The hash of a record's nested field paths selects the mapping that makes its turns; where
+    none serves it, fields that a mapping ignores are left out of it. mask holds begin and
+    end, in code points, of each text that is to be learned.
+
+    Records that can't be formatted keep their row, with the reason in `error` and null
+    layout and formatted: null ones, broken JSON, JSON that is no object, is nested too
+    deeply to be read or holds half of a surrogate pair, layouts that no mapping serves (a
+    new one asks for a mapping, not for code; unknown_layouts() counts them), and messages
+    that are no objects. Repeated rows stay apart; other columns play no part; an empty table
+    gives an empty one.
     """
-    known = registry(mappings)
-    schema = pa.schema([("id", pa.int64()), ("layout", pa.string()), ("fingerprint", pa.string()), ("formatted", pa.string()), ("mask", pa.list_(pa.int64()))])
+    known = Registry(mappings)
+    schema = pa.schema([("id", pa.int64()), ("layout", pa.string()), ("fingerprint", pa.string()), ("formatted", pa.string()), ("mask", pa.list_(pa.int64())), ("error", pa.string())])
+
+    def row(name: int | None, text: str | None) -> tuple:
+        mark = None
+        try:
+            mark, mapping = known.select(record := parse_record(text))
+            if mapping is None:
+                raise ValueError("unknown layout")
+            return name, mapping.name, mark, *render(to_turns(record, mapping)), None
+        except ValueError as e:
+            return name, None, mark, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for part in slices(batches):
             for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                try:
-                    record = json.loads(text) if text is not None else None
-                except ValueError:
-                    record = None
-                layout, turns = to_turns(record, known)
-                mark = fingerprint(nested_paths(record)) if isinstance(record, dict) else None
-                row = (name, layout, mark, *render(turns)) if layout else (name, None, mark, None, None)
-                if out.add(row, 2 * len(text or "") + 64):
+                if out.add(row(name, text), 2 * len(text or "") + 64):
                     yield from out.flush()
         yield from out.flush()
 
-    return records.select(F.col(id_col).cast("long").alias("id"), F.col(record_col).cast("string").alias("record")).mapInArrow(run, "id long, layout string, fingerprint string, formatted string, mask array<long>")
+    return records.select(F.col(id_col).cast("long").alias("id"), F.col(record_col).cast("string").alias("record")).mapInArrow(run, "id long, layout string, fingerprint string, formatted string, mask array<long>, error string")
+
+
+def unknown_layouts(formatted: DataFrame) -> DataFrame:
+    """(fingerprint, n): how many records of each layout no mapping served."""
+    return formatted.where("fingerprint is not null and layout is null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_formatted(formatted: DataFrame) -> DataFrame:
-    """(id, roles, texts, learned, formatted_chars) of rows (id, formatted, mask): the turns read back, and the unescaped texts under the mask."""
+    """(id, roles, texts, learned, formatted_chars) of rows (id, formatted, mask): the turns read back, and the unescaped texts under the mask.
+
+    Records that were not formatted, whose `formatted` is null, have no turns.
+    """
     schema = pa.schema([("id", pa.int64()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("learned", pa.list_(pa.string())), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -363,6 +363,28 @@ def test_layouts_become_the_same_turns(spark):
     assert chat.format_records(df.limit(0)).count() == 0
 
 
+def test_records_that_are_no_turns_say_why(spark):
+    deep = '{"prompt": ' + "[" * 100_000 + "]" * 100_000 + ', "completion": "x"}'
+    odd = {
+        1: ('{"messages": ["hi"]}', "messages holds what is no message"), 2: ('{"messages": [null]}', "messages holds what is no message"), 3: (deep, "nested too deeply"),
+        4: ('{"prompt": "\\ud800", "completion": "x"}', "half of a surrogate pair"), 5: ('{"\\ud800": 1}', "half of a surrogate pair"), 6: ("[1]", "no object"), 7: (None, "null"),
+        8: ('{"messages[].role": "a", "messages[].content": "b"}', "unknown layout"), 9: ('{"": {"prompt": "a", "completion": "b"}}', "unknown layout"), 10: ('{"prompt": {}, "completion": []}', "unknown layout"),
+        11: ('{"messages": [{"role": "user", "content": "a"}, "b"]}', "unknown layout"), 12: ('{"other": 1}', "unknown layout"), 13: ('{"other": 2}', "unknown layout"),
+    }
+    made = chat.format_records(spark.createDataFrame([(k, r) for k, (r, _) in odd.items()], "id long, record string")).cache()
+    assert {r.id: r.error for r in made.collect()} == {k: why for k, (_, why) in odd.items()}
+    assert all(r.layout is r.formatted is r.mask is None for r in made.collect()) and chat.read_formatted(made).where("size(roles) > 0").count() == 0
+    assert {r.fingerprint: r.n for r in chat.unknown_layouts(made).collect()}[chat.fingerprint({"other"})] == 2
+
+
+def test_fields_that_a_mapping_ignores(spark):
+    records = [{"prompt": "q", "completion": "a", "id": 7, "source": {"name": "x"}}, {"prompt": "q", "completion": "a", "extra": 7}, {"messages": [{"role": "bot", "content": "a"}], "metadata": [1, {"b": 2}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "narrator", "value": "a"}]}]
+    made = chat.format_records(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, record string")).cache()
+    assert {r.id: r.layout for r in made.collect()} == {0: "prompt", 1: None, 2: "messages", 3: "shared"}
+    # roles are renamed where the mapping says so, and nowhere else
+    assert {r.id: r.roles for r in chat.read_formatted(made).collect()} == {0: ["user", "assistant"], 1: [], 2: ["bot"], 3: ["user", "narrator"]}
+
+
 def test_paths_ignore_values_and_order():
     a, b = {"x": [{"a": 1, "b": None}], "y": {"z": 1}}, {"y": {"z": "t"}, "x": [{"b": 2}, {"a": 3}]}
     assert chat.nested_paths(a) == chat.nested_paths(b) == {"x[].a", "x[].b", "y.z"}
@@ -370,7 +392,8 @@ def test_paths_ignore_values_and_order():
 
 
 def test_records_of_turns(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x"), (2, None, "user", "<|im_end|>")]
+    rows = [(4, 0, "human", "a" * 100_000), (4, 1, "gpt", "b"), (1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x"), (2, None, "user", "<|im_end|>")]
     made = chat.format_records(chat.to_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     read = {r.id: (r.roles, r.texts) for r in chat.read_formatted(made).collect()}
+    assert read.pop(4) == (["human", "gpt"], ["a" * 100_000, "b"])
     assert read == {1: (["user", "assistant", "assistant"], ["", "b", "b"]), None: ([""], ["x"]), 2: (["user"], ["<|im_end|>"])}

@@ -22,8 +22,6 @@ FILL_ORDER = 266
 COMPRESSIONS = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "c", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
-
-
 #: Bytes with their bits the other way round, for FILL_ORDER 2.
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -33,7 +31,9 @@ class TiffError(ValueError):
 
 
 #: What a file or page that can't be decoded raises.
-FAULTS = (TiffError, struct.error, zlib.error, ValueError)
+FAULTS = (TiffError, struct.error, zlib.error, ValueError, OverflowError, MemoryError)
+#: Bytes that a value of a row, and so a page, can't reach.
+ROW_LIMIT = 1 << 31
 
 
 class Page(NamedTuple):
@@ -264,6 +264,8 @@ class _Reader:
             got = tags.get(tag) or ((default,) if default is not None else None)
             if got is None:
                 raise TiffError(f"tag {tag} is missing")
+            if not all(isinstance(x, int) and x >= 0 for x in got):
+                raise TiffError(f"tag {tag} holds what is no count")
             return got[0]
 
         width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
@@ -281,11 +283,13 @@ class _Reader:
         if not (width and height and across and down and samples):
             raise TiffError("an empty image")
         columns, rows = -(-width // across), -(-height // down)
-        apart = planes == 2
+        apart, tall = planes == 2, down
         if len(offsets) < columns * rows * (samples if apart else 1) or len(counts) < len(offsets):
             raise TiffError("strips or tiles are missing")
-        if -(-width * samples * bits // 8) * height > 1400 * (sum(counts) + 64):
-            raise TiffError("more samples than its strips or tiles can hold")
+        if not all(isinstance(x, int) and x >= 0 for x in (*offsets, *counts)):
+            raise TiffError("places of strips or tiles are no counts")
+        if max(width * height * samples, tall * across * (1 if apart else samples)) * dtype.itemsize >= ROW_LIMIT:
+            raise TiffError(f"{width} x {height} x {samples} samples of {bits} bits are more than a row can hold")
         image = np.empty((height, width, samples), dtype.newbyteorder("<"))
         for i in range(columns * rows * (samples if apart else 1)):
             plane, place = divmod(i, columns * rows)
@@ -402,7 +406,8 @@ def tiff_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
 
     page counts from 0; pixels are the decoded samples, rows from the top, little-endian;
     mean is that of the samples as unsigned integers. A page that can't be decoded gives a row in its place with
-    its number and the reason in `error` and null in the rest, and the walk goes on; a file whose directories can't be
+    its number and the reason in `error` and null in the rest, and the walk goes on, also after fields of a wrong
+    type and after a page of 2 GB and more, which no row can hold; a file whose directories can't be
     walked further, null and empty ones too, gives such a row after those of its pages. Columns of files
     that bear a name of a page's column, in any case, are replaced. An empty table gives an
     empty one.

@@ -111,6 +111,36 @@ def test_pages_after_a_bad_one_keep_their_rows(spark):
     assert [(r.k, r.page, r.mean, r.error and r.error[:7]) for r in got] == [(1, 0, 0.0, None), (1, None, None, "page 1:"), (1, None, None, "page 2:"), (1, 3, 3.0, None), (2, 0, pytest.approx(1 / 9), None)]
 
 
+def patched(data, tag, kind, n, value):
+    """The file with one field of its first directory rewritten."""
+    out, at = bytearray(data), struct.unpack_from("<I", data, 4)[0]
+    k = next(k for k in range(at + 2, at + 2 + 12 * struct.unpack_from("<H", data, at)[0], 12) if struct.unpack_from("<H", data, k)[0] == tag)
+    struct.pack_into("<HI", out, k + 2, kind, n)
+    out[k + 8 : k + 12] = value
+    return bytes(out)
+
+
+def test_odd_fields_give_a_reason(spark):
+    good = tiff.write_tiff([np.ones((3, 4), np.uint8), np.full((2, 2), 7, np.uint8)], "none", 1)
+    number = lambda v: struct.pack("<I", v)
+    odd = [(tag, kind, 1, struct.pack("<f", 4.0) if kind == 11 else b"4\0\0\0") for tag in (tiff.WIDTH, tiff.HEIGHT, tiff.BITS, tiff.COMPRESSION, tiff.SAMPLES, tiff.PREDICTOR, tiff.STRIP_OFFSETS, tiff.STRIP_COUNTS, tiff.ROWS_PER_STRIP) for kind in (2, 11)]
+    odd += [(tiff.WIDTH, 9, 1, struct.pack("<i", -4)), (tiff.WIDTH, 4, 1, number(1 << 31)), (tiff.HEIGHT, 4, 1, number(0)), (tiff.WIDTH, 4, 0, number(4)), (tiff.STRIP_OFFSETS, 5, 1, number(1 << 30)), (tiff.SAMPLES, 4, 1, number((1 << 32) - 1)), (tiff.PREDICTOR, 3, 1, number(9)), (tiff.BITS, 3, 1, number(12)), (tiff.STRIP_COUNTS, 4, 1, number((1 << 32) - 1))]
+    files = [(i, patched(good, *field)) for i, field in enumerate(odd)]
+    got = tiff.tiff_pages(spark.createDataFrame(files, "k int, media binary")).collect()
+    assert len(got) == 2 * len(odd)
+    for i in range(len(odd)):
+        bad, after = (r for r in got if r.k == i)
+        assert bad.error.startswith("page 0:") and bad.pixels is None and (after.page, bytes(after.pixels), after.error) == (1, bytes([7] * 4), None), odd[i]
+
+
+def test_few_bytes_may_hold_many_samples(spark):
+    """A code of LZW's full table stands for thousands of bytes; no share of samples to bytes is too much."""
+    image = np.zeros((4000, 4000), np.uint8)
+    for compression in ("lzw", "deflate"):
+        (page,) = tiff.pages_or_faults(tiff.write_tiff([image], compression, 1, rows=4000))
+        assert page.pixels == image.tobytes()
+
+
 def test_all_directories_are_walked():
     n = (1 << 20) + 5
     links = np.zeros(n, np.dtype([("fields", "<u2"), ("next", "<u4")]))

@@ -99,22 +99,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def components_of(found: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of fingerprints() with their component_id."""
+    """The rows of fingerprints() with their component_id and root, a fingerprint that stands for the component."""
     rows = materialize(found)
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(linked_fingerprints(nodes.select("fp"), nodes.count(), distance), "a", "b")
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = apart(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = materialize(grouped.join(least, "root").select("fp", "component_id"))
+    named = materialize(grouped.join(least, "root").select("fp", "component_id", "root"))
     return rows.join(small(named), "fp")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, less all documents but the one of least id of each component; columns stay as they are.
+    """docs, less all rows but one of each component: that of least id, then of least hash of its text; columns stay as they are.
 
-    Rows without an id can't be named, and stay; rows that share an id and a text stay or go
-    together, those of unlike texts each for itself.
+    Rows without an id come last, and one of them stays where a component has no others. Of
+    rows that agree in id and text any one stays. Unlike texts that share an id are rows of
+    their own.
     """
     found = components_of(fingerprints(docs, id_col, text_col, hashed=True))
-    gone = materialize(found.where("id is not null and id <> component_id").select(F.col("id").alias("__gone"), F.col("text_hash").alias("__text")).distinct())
-    return docs.join(small(gone), (docs[id_col].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__text")), "left_anti")
+    keys = materialize(found.groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
+    best = apart(keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")).alias("best")))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    decided = materialize(keys.join(best, "root").where(~stays | (F.col("n") > 1)).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), stays.alias("__stays")))
+    marked = docs.select("*", docs[id_col].cast("long").alias("__of"), F.xxhash64(docs[text_col]).alias("__text"))
+    same = F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    single = marked.join(small(decided), same, "left_anti")
+    repeated = decided.where("__stays")
+    if repeated.limit(1).count():  # rows that stay and are there more than once
+        single = single.unionByName(marked.join(small(repeated), same, "left_semi").dropDuplicates(["__of", "__text"]))
+    return single.drop("__of", "__text")

@@ -161,7 +161,8 @@ def test_simhash_components(spark):
     assert simhash.simhash_components(docs_of(spark, [])).count() == 0
     unnamed = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "zz")], "doc_id long, text string")
     assert sorted(map(str, simhash.simhash_components(unnamed).select("id", "component_id").collect())) == sorted(["Row(id=None, component_id=3)", "Row(id=3, component_id=3)", "Row(id=3, component_id=3)", "Row(id=None, component_id=None)"])
-    assert simhash.keep_one_each(unnamed).count() == 4
+    # one row of each group stays, also of copies that share an id or have none
+    assert sorted(map(str, simhash.keep_one_each(unnamed).collect())) == sorted(["Row(doc_id=3, text='a b c d')", "Row(doc_id=None, text='zz')"])
 
 
 def test_unlike_texts_of_one_id_are_kept_each_for_itself(spark):
@@ -170,6 +171,22 @@ def test_unlike_texts_of_one_id_are_kept_each_for_itself(spark):
     assert sorted(map(tuple, kept)) == [(0, ""), (1, "a b c d"), (5, "wholly other words")]
 
 
+def test_one_row_of_each_group_stays(spark):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    base = [" ".join(rnd.choices(words, k=60)) for _ in range(5)]
+    rows = [(rnd.choice([None, *range(12)]), rnd.choice([None, "", *base, *(b + " more" for b in base)]), [k]) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more array<int>")
+    got = simhash.keep_one_each(df).collect()
+    prints = [plain_fingerprint(t) for _, t, _ in rows]
+    of = brute_components([(i, j) for i in range(150) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3], range(150))
+    kept = Counter(of[r.more[0]] for r in got)
+    assert set(kept) == set(of.values()) and set(kept.values()) == {1}
+    for r in got:
+        ids = [rows[k][0] for k in of if of[k] == of[r.more[0]]]
+        assert r.doc_id == min((i for i in ids if i is not None), default=None) and tuple(r) == rows[r.more[0]]
+
+
 # ---- toxicity
 
 

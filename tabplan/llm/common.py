@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-#: A side of a join is broadcast only after its rows were counted and found to be at most so many.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only after its rows and their bytes were counted and found to be at most so many.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 #: Rows turned into Python objects at once; Arrow batches may hold thousands of long texts.
 ROWS_AT_ONCE = 256
 #: Bytes of one Arrow batch on its way back to the JVM, exceeded by one row at most.
@@ -41,8 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has few rows; df should be cheap to count, as materialized rows are."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df``, marked for broadcast if its rows are few and hold few bytes; df should be cheap to count, as materialized rows are.
+
+    A column counts 8 bytes a row, texts and bytes besides what they hold.
+    """
+    long = [F.coalesce(F.sum(F.octet_length(f"`{f.name.replace('`', '``')}`")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    n, *held = df.limit(rows + 1).agg(F.count(F.lit(1)), *long).first()
+    return F.broadcast(df) if n <= rows and 8 * n * len(df.columns) + sum(held) <= BROADCAST_BYTES else df
 
 
 def apart(found: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

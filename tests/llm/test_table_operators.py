@@ -337,9 +337,9 @@ def test_distributed_rank(spark, monkeypatch):
 
 @pytest.mark.parametrize("least", [0, 2])
 def test_revisits(spark, tmp_path, least):
-    payloads = [b"same", b"same", b"", b"", None, b"x", b"x", "é\r\n\r\nWARC/1.1\r\n".encode(), bytes(range(256)), b"same", b"y" * 300_000]
-    rows = [(10 + i, f"http://a/{i}\r\nX: y", p) for i, p in enumerate(payloads)] + [(None, None, b"same")]
-    df = spark.createDataFrame(rows, "key long, url string, payload binary").selectExpr("*", "1 AS digest", "2 AS refers_to", "3 AS n").drop("digest", "refers_to")
+    payloads = [b"same", b"same", b"", b"", None, b"x", b"x", "é\r\n\r\nWARC/1.1\r\n".encode(), bytes(range(256)), b"same", b"y" * 300_000, warc.NOTHING, warc.NOTHING[:9] * 50]
+    rows = [(10 + i, f"http://a/{i}\r\nX: y", p) for i, p in enumerate(payloads)] + [(None, None, b"same"), (None, None, b"same")]
+    df = spark.createDataFrame(rows, "key long, url string, payload binary").selectExpr("*", "1 AS digest", "2 AS refers_to", "3 AS n", "4 AS several", "5 AS record_type")
     got = warc.revisit_archives(df, least, str(tmp_path / "w")).collect()
     assert len(got) == len(rows)
     largest = {}
@@ -352,8 +352,52 @@ def test_revisits(spark, tmp_path, least):
         revisit = r.key is not None and len(payload) >= least and largest[payload] != r.key
         assert (r.record_type, r.refers_to) == (("revisit", largest[payload]) if revisit else ("response", None))
         assert r.intact is (None if revisit else True)
-    files = list((tmp_path / "w").glob("part*"))
-    assert sum(len(list(warc.parse(__import__("gzip").decompress(f.read_bytes())))) for f in files) == len(rows)
+    # by the standard library alone: a member for each record, and fields as the standard has them
+    found = []
+    for f in (tmp_path / "w").glob("part*"):
+        assert f.name.endswith(warc.ENDING)
+        left, members = f.read_bytes(), []
+        while left:
+            one = zlib.decompressobj(31)
+            members.append(list(warc.parse(one.decompress(left))))
+            left = one.unused_data
+        assert len(members[0]) == 1 and members[0][0][0]["warc-type"] == "warcinfo" and all(len(m) <= 1 for m in members)
+        found += [m[0][0] for m in members[1:] if m]
+        assert sum(len(m) for m in members) == len(list(warc.parse(__import__("gzip").decompress(f.read_bytes()))))
+    by_id = {x["warc-record-id"]: x for x in found}
+    assert len(by_id) == len(found) == len(rows)
+    for x in found:
+        if x["warc-type"] == "revisit":
+            original = by_id[x["warc-refers-to"]]
+            assert (original["x-record-key"], original["warc-target-uri"], original["warc-date"]) == (x["x-refers-to-key"], x["warc-refers-to-target-uri"], x["warc-refers-to-date"])
+            assert original["warc-type"] == "response" and original["warc-payload-digest"] == x["warc-payload-digest"]
+
+
+def test_records_that_share_a_key_have_ids_of_their_own(spark, tmp_path):
+    rows = [(1, "a", b"p", "2020-01-01T00:00:00Z"), (1, "a", b"p", None), (1, "b", b"q", None), (0, "c", b"p", None), (None, None, b"p", None), (None, None, b"p", None)]
+    df = spark.createDataFrame(rows, "key long, url string, payload binary, date string")
+    folder = warc.deduplicate(df, 0, str(tmp_path / "w"), "2024-02-03T04:05:06Z")
+    read = warc.read_archives(spark, folder).collect()
+    assert len({r.record_id for r in read}) == len(rows)
+    (revisit,) = (r for r in read if r.record_type == "revisit")
+    assert (revisit.key, revisit.refers_to, revisit.refers_to_id, revisit.refers_uri, revisit.refers_date) == (0, 1, None, "a", "2020-01-01T00:00:00Z")
+    assert sorted(r.date for r in read) == ["2020-01-01T00:00:00Z"] + ["2024-02-03T04:05:06Z"] * 5
+    assert {r.key: r.payload_bytes for r in warc.with_originals(warc.read_archives(spark, folder)).collect()} == {0: 1, 1: 1, None: 1}
+
+
+def test_many_records_are_read_back_from_parts_of_files(spark, tmp_path):
+    """The bounds between records are found wherever a file is cut."""
+    rnd = random.Random(1)
+    rows = [(i, f"u{i}", b"%d " % i + rnd.randbytes(rnd.randrange(400))) for i in range(3000)]
+    folder = warc.deduplicate(spark.createDataFrame(rows, "key long, url string, payload binary").coalesce(1), 0, str(tmp_path / "w"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001b")
+    try:
+        read = warc.read_archives(spark, folder)
+        assert read.rdd.getNumPartitions() > 20
+        assert {r.key: bytes(r.payload) for r in read.collect()} == {k: p for k, _, p in rows}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_no_records(spark, tmp_path):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -112,8 +113,8 @@ def pu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float,
     return positive, negative, prior * _sigmoid(zp), -_sigmoid(zu)
 
 
-def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: int, batch: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
-    """Minimise the non-negative risk pi R_P(+) + max(0, R_U(-) - pi R_P(-)) by Adam, in batches."""
+def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, steps: int, batch: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
+    """Minimise the non-negative risk pi R_P(+) + max(0, R_U(-) - pi R_P(-)) by Adam, in so many steps of a batch, and to the end of a pass over the unlabelled rows."""
     rows = np.bincount(np.concatenate([np.unique(i) for i, _ in positive + unlabelled]), minlength=FEATURES)
     positive, unlabelled = ([(i[keep], v[keep]) for i, v in side for keep in [rows[i] >= LEAST_ROWS]] for side in (positive, unlabelled))
     p, u, rng = _Matrix(positive), _Matrix(unlabelled), np.random.default_rng(seed)
@@ -121,10 +122,11 @@ def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: i
     p.idx, u.idx = back[: len(p.idx)], back[len(p.idx) :]
     w, m, v = (np.zeros(len(used) + 1) for _ in range(3))  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
-    steps, t = max(1, -(-len(unlabelled) // batch)), 0
+    passed = max(1, -(-len(unlabelled) // batch))
+    epochs, t = -(-steps // passed), 0
     for epoch in range(epochs):
         order = rng.permutation(len(unlabelled))
-        for k in range(steps):
+        for k in range(passed):
             rows_u = order[k * batch : (k + 1) * batch]
             rows_p = rng.choice(len(positive), min(len(positive), batch // 2), replace=False)
             grad = np.zeros_like(w)
@@ -155,7 +157,14 @@ def parts(positive: list[tuple], unlabelled: list[tuple], most: int = PARTS) ->
     return np.array(place[0], int) % n, np.array(place[1], int) % n, n
 
 
-def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.15, decay: float = 1e-3, seed: int = 7) -> Classifier:
+def _fit_apart(positive: list[tuple], unlabelled: list[tuple], in_p: np.ndarray, in_u: np.ndarray, k: int, *options) -> tuple[np.ndarray, float, list[float], list[float]]:
+    """(weights, bias) fitted on all rows but those of part k, and what they say of these, on either side."""
+    away = [[r for r, at in zip(side, where, strict=True) if at != k] for side, where in ((positive, in_p), (unlabelled, in_u))]
+    w, b = _fit(*away, *options)
+    return w, b, *([b + float(w[i] @ v) for (i, v), at in zip(side, where, strict=True) if at == k] for side, where in ((positive, in_p), (unlabelled, in_u)))
+
+
+def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, steps: int = 240, batch: int = 512, rate: float = 0.15, decay: float = 1e-3, seed: int = 7, run: Callable = map) -> Classifier:
     """The mean of PARTS classifiers, each fitted on all rows but those of one part, whose scores set the bias.
 
     A text that stands on both sides, or several times, is in one part, so that no classifier
@@ -163,17 +172,14 @@ def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, epoch
     recall^2 / share of unlabelled rows above it, which needs no negative labels, among those
     with at most the prior's share above them; there, the score is 1/2. With fewer than two
     different positive texts, or nothing unlabelled to hold them against, nothing is toxic.
+    `run` maps the fitting over the parts.
     """
     in_p, in_u, n = parts(positive, unlabelled)
     if n < 2 or any(not (in_u != k).any() for k in range(n)):
         return Classifier(np.zeros(FEATURES), -20.0)
-    weights, bias, zp, zu = np.zeros(FEATURES), 0.0, [], []
-    for k in range(n):
-        w, b = _fit([r for r, at in zip(positive, in_p, strict=True) if at != k], [r for r, at in zip(unlabelled, in_u, strict=True) if at != k], prior, epochs, batch, rate, decay, seed)
-        weights, bias = weights + w / n, bias + b / n
-        for z, side, where in ((zp, positive, in_p), (zu, unlabelled, in_u)):
-            z += [b + float(w[i] @ v) for (i, v), at in zip(side, where, strict=True) if at == k]
-    zp, zu = np.sort(zp), np.sort(zu)
+    found = list(run(lambda k: _fit_apart(positive, unlabelled, in_p, in_u, k, prior, steps, batch, rate, decay, seed), range(n)))
+    weights, bias = sum(f[0] for f in found) / n, sum(f[1] for f in found) / n
+    zp, zu = (np.sort([z for f in found for z in f[side]]) for side in (2, 3))
     recall = 1 - np.arange(len(zp)) / len(zp)
     share = (len(zu) - np.searchsorted(zu, zp) + 1) / (len(zu) + 1)
     merit = np.where(share <= max(prior, share.min()), recall**2 / share, 0)
@@ -182,6 +188,21 @@ def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, epoch
     return Classifier(weights, bias - (best + (below[-1] if len(below) else best)) / 2)
 
 
+def on_executors(spark: SparkSession) -> Callable:
+    """A map whose calls are a task each; results come back in order."""
+
+    def run(f: Callable, of: range) -> list:
+        def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(f(k))], pa.binary())], names=["k", "made"])
+
+        rows = spark.range(of.start, of.stop, 1, len(of)).mapInArrow(call, "k long, made binary").collect()
+        return [pickle.loads(r.made) for r in sorted(rows, key=lambda r: r.k)]
+
+    return run
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves no remainder; false for null ids, of which no label is learned either."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
@@ -218,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     # at most positives + unlabelled rows: small enough to go to every executor
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).where("__id is not null").join(F.broadcast(ids), "__id")
     rows = sorted(_featurize(texts.select("text", "toxic")), key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
-    return fit_nnpu([(i, v) for i, v, t in rows if t], [(i, v) for i, v, t in rows if not t], toxic / n)
+    return fit_nnpu([(i, v) for i, v, t in rows if t], [(i, v) for i, v, t in rows if not t], toxic / n, run=on_executors(docs.sparkSession))
 
 
 def score_texts(docs: DataFrame, model: Classifier, text_col: str = "text", output: str = "score") -> DataFrame:

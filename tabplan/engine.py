@@ -21,7 +21,7 @@ def answer_all(plan: Plan | dict | str, resolver: Resolver, judge: Judge) -> dic
     for step in plan.steps:
         if not step.op.startswith("semantic_") or step.id in found.complete:
             continue
-        given = Compiler(found).compile(plan)[step.input]
+        given = Compiler(found).compile(plan, {step.input})[step.input]
         if step.op == "semantic_annotate":
             answers, _ = annotate(given.visible(), step, judge, plan.model)
             answers = materialize(answers)

@@ -91,7 +91,7 @@ def _match_stage(step: Step, resolver: Resolver, rows: int, limits: Limits, warn
 
 def estimate(plan: Plan | dict | str, resolver: Resolver, limits: Limits = Limits(), cache: DataFrame | None = None, routes: int = 1) -> Estimate:
     plan = plan if isinstance(plan, Plan) else parse_plan(plan)
-    relations = Compiler(resolver).compile(plan)
+    relations = Compiler(resolver).compile(plan, ())
     found = Estimate(source_rows=relations[SOURCE].df.count())
     for step in plan.steps:
         if not step.op.startswith("semantic_"):
@@ -125,7 +125,7 @@ def validate(plan: Plan | dict | str, resolver: Resolver, limits: Limits = Limit
     """{valid, issues} or {valid, plan, steps, estimate}: all steps are bound to types, no row is read but for the estimate."""
     try:
         parsed = plan if isinstance(plan, Plan) else parse_plan(plan)
-        relations = Compiler(resolver).compile(parsed)
+        relations = Compiler(resolver).compile(parsed, ())
         steps = {n: [{"name": f.name, "type": f.type, "role": f.role} for f in r.fields] for n, r in relations.items()}
         return {"valid": True, "plan": parsed.digest(), "steps": steps, "estimate": asdict(estimate(parsed, resolver, limits))}
     except PlanError as e:

@@ -6,31 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.relation import ROW_ID
-from ..sources.tables import materialize
+from ..sources.tables import materialize, sorted_ids
 
-#: Up to so many bytes of sources one task numbers the rows; beyond, ranges of them are numbered apart.
-ONE_TASK_BYTES = 256 << 20
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Up to so many bytes of sources, and so many rows of a join, one task numbers the rows; beyond, ranges of them are numbered apart.
+ONE_TASK_BYTES, ONE_TASK_ROWS = 256 << 20, 200_000
 
 
 def dense_ids(df: DataFrame, order: list[Column], scanned: int, out: str = ROW_ID) -> DataFrame:
     """df with a column 0, 1, 2, ... by `order`, which should decide between all rows.
 
-    Small results are numbered by one window. Large ones are sorted by range partitions,
-    which number their own rows, and a table with one row for each partition tells how many
-    stand before it; for this, the sorted rows are written to the shared folder once.
+    `scanned` bounds the bytes of df's rows. Small results are numbered by one window, large
+    ones by range partitions.
     """
     if scanned <= ONE_TASK_BYTES:
         return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-    in_part = (1 << 33) - 1
-    placed = materialize(df.orderBy(*order).withColumn("__mono", F.monotonically_increasing_id()))
-    part, place = F.shiftright("__mono", 33), F.col("__mono").bitwiseAND(F.lit(in_part))
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__part", before.alias("__before"))  # a row for each partition
-    found = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return found.withColumn(out, (F.col("__before") + place).cast("bigint")).drop("__part", "__before", "__mono")
+    return sorted_ids(df, order, out)
+
+
+def counted_ids(df: DataFrame, order: list[Column], out: str = ROW_ID) -> tuple[DataFrame, int]:
+    """(dense ids of rows of which no one knows how many there are, their number): they are written once and counted."""
+    held = materialize(df)
+    n = held.count()
+    return dense_ids(held, order, 0 if n <= ONE_TASK_ROWS else ONE_TASK_BYTES + 1, out), n

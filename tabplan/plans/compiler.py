@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import ExprCompiler
-from ..operators.rowids import dense_ids, scanned_bytes
-from ..sources.tables import Resolver
+from ..operators.rowids import counted_ids, dense_ids
+from ..sources.tables import Resolver, scanned_bytes
 from .errors import PlanError
 from .relation import ROW_ID, Field, Relation, logical, name
 from .spec import Call, Expr, Lit, Plan, Question, Ref, Source, Step, parse_plan
@@ -21,14 +23,21 @@ GOOD, GOOD_MATCH = ("ok", "override"), ("ok", "override", "matched", "unmatched"
 
 
 class Compiler:
-    """compile() gives the relations by step id; nothing runs but where large results get their row ids."""
+    """compile() gives the relations by step id.
+
+    Nothing runs but where joins and large results get their row ids, and those only if what
+    is wanted needs them. Other relations can be run as well; one task numbers their joins.
+    """
 
     def __init__(self, resolver: Resolver, compat_match_gate: bool = False):
         self.resolver, self.good = resolver, GOOD if compat_match_gate else GOOD_MATCH
         self.relations: dict[str, Relation] = {}
+        self.numbered: set[str] = set()
 
-    def compile(self, plan: Plan | dict | str) -> dict[str, Relation]:
+    def compile(self, plan: Plan | dict | str, wanted: Iterable[str] | None = None) -> dict[str, Relation]:
+        """The relations, of which those wanted, the output if not given, are to be run; with none, no row is read."""
         plan = plan if isinstance(plan, Plan) else parse_plan(plan)
+        self.numbered = needing_ids(plan, {plan.output} if wanted is None else set(wanted))
         self.relations = {SOURCE: self.read(plan.source, SOURCE, "plan.source")}
         for i, step in enumerate(plan.steps):
             path = f"steps[{i}]"
@@ -121,10 +130,10 @@ class Compiler:
         made = given.df.groupBy(*map(name, step.group_by)).agg(*metrics)
         kinds = {f.name: f.dataType for f in made.schema}
         fields = [Field(ROW_ID, "integer", "row_id"), *(Field(c, logical(kinds[c]), "group") for c in step.group_by), *(Field(m, logical(kinds[m]), "metric") for m, _, _ in step.metrics)]
-        return self._renumbered(given, made, fields, [name(c).asc_nulls_last() for c in step.group_by] or [F.lit("")])
+        return self._renumbered(step.id, given, made, fields, [name(c).asc_nulls_last() for c in step.group_by] or [F.lit("")])
 
-    def _renumbered(self, given: Relation, df: DataFrame, fields: list[Field], order: list[Column]) -> Relation:
-        numbered = dense_ids(df, order, given.scanned).select(*(name(f.name) for f in fields))
+    def _renumbered(self, step: str, given: Relation, df: DataFrame, fields: list[Field], order: list[Column]) -> Relation:
+        numbered = dense_ids(df, order, given.scanned if step in self.numbered else 0).select(*(name(f.name) for f in fields))
         return Relation(given.name, numbered, tuple(fields), pending=given.pending, row_preserving=False, scanned=given.scanned)
 
     def _distinct(self, step: Step, given: Relation, path: str) -> Relation:
@@ -134,7 +143,7 @@ class Compiler:
         listed = [c for c in listed if c != ROW_ID] or listed
         by_name = {f.name: f for f in given.fields}
         made = given.df.select(*map(name, listed)).distinct()
-        return self._renumbered(given, made, [Field(ROW_ID, "integer", "row_id"), *(by_name[c] for c in listed if c != ROW_ID)], [name(c).asc_nulls_last() for c in listed])
+        return self._renumbered(step.id, given, made, [Field(ROW_ID, "integer", "row_id"), *(by_name[c] for c in listed if c != ROW_ID)], [name(c).asc_nulls_last() for c in listed])
 
     def _limit(self, step: Step, given: Relation, path: str) -> Relation:
         return given.with_(df=given.df.orderBy(*given.order()).limit(step.n))
@@ -159,8 +168,13 @@ class Compiler:
         on = reduce(lambda a, b: a & b, [name(lc if lc != ROW_ID else "left_row_id") == F.col(f"__key_{i}") for i, (lc, _) in enumerate(step.on)])
         met = left.join(r, on, step.how)
         made = met.select("left_row_id", "__right_id", *(name(f.name) for f in kept), *(F.col(f"__right_{i}").alias(step.right_prefix + c) for i, c in enumerate(taken)))
-        scanned = given.scanned + right.scanned
-        numbered = dense_ids(made, [F.col("left_row_id").asc(), F.col("__right_id").asc_nulls_last()], scanned).select(*(name(f.name) for f in fields))
+        scanned, order = given.scanned + right.scanned, [F.col("left_row_id").asc(), F.col("__right_id").asc_nulls_last()]
+        if step.id in self.numbered:  # a join may make any number of rows
+            made, n = counted_ids(made, order)
+            scanned = max(scanned, 8 * n * len(fields))
+        else:
+            made = dense_ids(made, order, 0)
+        numbered = made.select(*(name(f.name) for f in fields))
         gates = {c: s for c, s in given.gates.items() if c != ROW_ID}
         return Relation(step.id, numbered, tuple(fields), gates=gates, pending=given.pending | right.pending, row_preserving=False, scanned=scanned)
 
@@ -209,7 +223,7 @@ class Compiler:
         if overrides is None:
             return df
         kind = df.schema[column].dataType
-        met = df.join(F.broadcast(overrides), name(ROW_ID) == F.col("__oid"), "left")
+        met = df.join(overrides, name(ROW_ID) == F.col("__oid"), "left")
         is_set = F.col("__oid").isNotNull()
         value = F.when(is_set, F.col("__value").try_cast(kind)).otherwise(name(column))
         status = F.when(is_set, F.lit("override")).otherwise(name(f"{q.name}.status"))
@@ -237,6 +251,21 @@ class Compiler:
         return given.with_(df=df, fields=(*given.fields, *fields), gates=gates, pending=given.pending | self._open(step))
 
 
+def needing_ids(plan: Plan, wanted: set[str]) -> set[str]:
+    """The steps whose row ids play a part in the wanted relations."""
+    live = {w.removesuffix(REVIEW) for w in wanted}
+    need = set(live)
+    named = any(f'"{c}"' in json.dumps(plan.raw) for c in (ROW_ID, "left_row_id"))
+    for step in reversed(plan.steps):
+        if step.id not in live:
+            continue
+        inputs = {step.input, *([step.right.removesuffix(REVIEW)] if step.op == "join" and isinstance(step.right, str) else [])}
+        live |= inputs
+        if step.op not in ("aggregate", "distinct") and (step.id in need or step.op == "limit") or step.op.startswith("semantic_") or named:
+            need |= inputs
+    return need
+
+
 def metric(df: DataFrame, fn: str, column: str | None) -> Column:
     """An aggregate that ignores nulls; booleans count as 0 and 1 in sums, and sums of whole numbers stay whole."""
     if column is None:

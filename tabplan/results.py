@@ -13,9 +13,12 @@ from .plans.compiler import metric
 from .plans.errors import PlanError
 from .plans.relation import ROW_ID, Relation, name
 from .plans.spec import parse_expr, parse_metrics
+from .sources.tables import sorted_ids
 
 #: Cells of a page are cut to so many characters.
 PAGE_ROWS, CELL_CHARS = 256, 512
+#: Rows that one task sorts for a page.
+DEEP = 50_000
 
 
 def _filtered(relation: Relation, where: dict | None) -> DataFrame:
@@ -36,10 +39,14 @@ def _ordered_by(relation: Relation, sort: list[tuple[str, bool]] | None) -> list
 def page(relation: Relation, columns: list[str] | None = None, where: dict | None = None, sort: list[tuple[str, bool]] | None = None, start: int = 0, limit: int = PAGE_ROWS) -> DataFrame:
     """Rows start to start + limit in the asked or the relation's own order, after the filter, which no status gates.
 
-    Only the first start + limit rows are kept while sorting, in every task.
+    Only the first start + limit rows are kept while sorting, in every task; for a page beyond
+    DEEP rows all are numbered by ranges instead.
     """
     shown = columns or relation.names
     order = _ordered_by(relation, sort)
+    if start + limit > DEEP:
+        numbered = sorted_ids(_filtered(relation, where), order, "__at")
+        return numbered.where(F.col("__at").between(start, start + limit - 1)).orderBy("__at").select(*map(name, shown))
     top = _filtered(relation, where).orderBy(*order).limit(start + limit)
     placed = top.withColumn("__at", F.row_number().over(Window.orderBy(*order)))
     return placed.where(F.col("__at") > start).orderBy("__at").select(*map(name, shown))
@@ -49,7 +56,7 @@ def rows_by_id(relation: Relation, row_ids: list[int], columns: list[str] | None
     """The rows of some ids, in the order of the list."""
     spark: SparkSession = relation.df.sparkSession
     wanted = spark.createDataFrame(list(enumerate(row_ids)), "__at int, __want long")
-    return relation.df.join(F.broadcast(wanted), name(ROW_ID) == F.col("__want")).orderBy("__at").select(*map(name, columns or relation.names))
+    return relation.df.join(wanted, name(ROW_ID) == F.col("__want")).orderBy("__at").select(*map(name, columns or relation.names))
 
 
 def summary(relation: Relation, where: dict | None = None) -> dict[str, Any]:

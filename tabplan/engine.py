@@ -23,8 +23,7 @@ def answer_all(plan: Plan | dict | str, resolver: Resolver, judge: Judge) -> dic
             continue
         given = Compiler(found).compile(plan, {step.input})[step.input]
         if step.op == "semantic_annotate":
-            answers, _ = annotate(given.visible(), step, judge, plan.model)
-            answers = materialize(answers)
+            answers = materialize(annotate(given.visible(), step, judge, plan.model).answers)
             for q in step.questions:
                 if q.kind == "boolean":
                     answers, _ = calibrate_boolean(answers, q.name, q.mode)

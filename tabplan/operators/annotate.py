@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,29 +12,34 @@ from pyspark.sql import types as T
 
 from ..plans.relation import ROW_ID, name
 from ..plans.spec import Question, Step
+from ..sources.tables import materialize
 from .judge import ITEM_TOKENS, REQUEST_TOKENS, STATE_TOKENS, Judge, estimated_tokens, raw_name, tokens_of
 
 #: Versions of how cells are cleaned and how a payload is laid out; a change makes new cache keys.
 LAYOUT = 1
-STRIP = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+#: White space: that of ASCII, separators of Unicode, U+0085 and U+001C to U+001F.
+SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def clean_cell(df: DataFrame, column: str) -> Column:
     """A cell as text without white space around it; null, NaN and blank ones are null."""
     kind, c = df.schema[column].dataType, name(column)
     if isinstance(kind, T.StringType):
-        text = F.regexp_replace(c, STRIP, "")
-        return F.when(text != "", text)
+        return F.nullif(F.btrim(c, F.lit(SPACE)), F.lit(""))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), c.cast("string"))
     return c.cast("string")
 
 
+def joined(cells: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """(the payload, a line of "column: text" for each cleaned cell, and whether all cells are missing)."""
+    missing = reduce(lambda a, b: a & b, [x.isNull() for _, x in cells])
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(x, F.lit(""))) for c, x in cells)), missing
+
+
 def payload(df: DataFrame, columns: list[str]) -> tuple[Column, Column]:
-    """(the payload, a line of "column: text" for each column, and whether all cells are missing)."""
-    cells = {c: clean_cell(df, c) for c in columns}
-    missing = reduce(lambda a, b: a & b, [x.isNull() for x in cells.values()])
-    return F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(x, F.lit(""))) for c, x in cells.items())), missing
+    """As joined(), of columns of df."""
+    return joined([(c, clean_cell(df, c)) for c in columns])
 
 
 def cache_key(payload_column: Column, q: Question, model: str, workspace: str) -> Column:
@@ -69,45 +75,77 @@ def classify(questions: list[Question]) -> Column:
     return F.when(some("failed", "input_too_long"), "failed").when(every("skipped"), "skipped").when(every("missing"), "missing").when(some("uncertain"), "uncertain").otherwise("succeeded")
 
 
-def annotate(rows: DataFrame, step: Step, judge: Judge, model: str = "rules-1", workspace: str = "default", cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(answers, new cache entries): answers by _row_id with each question's columns and raw answer.
+@dataclass(frozen=True)
+class Annotated:
+    """answers by _row_id with each question's columns and raw answer; entries (key, raw) new to the cache; asked (tokens), a row for each payload that the judge was asked about."""
+
+    answers: DataFrame
+    entries: DataFrame
+    asked: DataFrame
+
+
+def _keyed(df: DataFrame, questions: list[Question], model: str, workspace: str) -> DataFrame:
+    return df.select("*", *(cache_key(F.col("payload"), q, model, workspace).alias(f"__key_{i}") for i, q in enumerate(questions)))
+
+
+def _outputs(df: DataFrame, step: Step) -> DataFrame:
+    """The answers' columns, from rows (_row_id, missing, too_long, raw answers)."""
+    absent = F.lit("skipped" if step.on_missing == "skip" else "missing")
+    columns = []
+    for q in step.questions:
+        raw = name(raw_name(q))
+        for out, c in interpret(q, raw).items():
+            if out.endswith(".status"):
+                c = F.when(F.col("missing"), absent).when(F.col("too_long"), "input_too_long").otherwise(c)
+            columns.append(c.alias(out))
+        columns.append(raw)
+    return df.select(name(ROW_ID), *columns)
+
+
+def _entries(told: DataFrame, questions: list[Question]) -> DataFrame:
+    rows = F.array(*(F.struct(F.col(f"__key_{i}").alias("key"), name(raw_name(q)).alias("raw")) for i, q in enumerate(questions)))
+    return told.select(F.inline(rows)).where("raw is not null")
+
+
+def annotate(rows: DataFrame, step: Step, judge: Judge, model: str = "rules-1", workspace: str = "default", cache: DataFrame | None = None) -> Annotated:
+    """Answers to a step's questions about rows.
 
     Only _row_id and the step's columns are read. Rows of one payload are asked about once,
-    and not at all if the cache (key, raw) knows the answer. Rows without any input get the
-    status of the step's policy, payloads too long for a request `input_too_long`.
+    and not at all if the cache (key, raw) knows the answer; answers are written down before
+    anything is made of them, so that no judge is asked twice. A judge of mere expressions,
+    without a cache, answers each row where it is read, as nothing is saved by fewer
+    questions. Rows without any input get the status of the step's policy, payloads too long
+    for a request `input_too_long`.
     """
     questions: list[Question] = step.questions
-    text, missing = payload(rows, list(step.columns))
     asked_tokens = max(tokens_of(json.dumps(q.signature())) for q in questions)
-    base = rows.select(name(ROW_ID), text.alias("payload"), missing.alias("missing"))
-    base = base.withColumn("too_long", ~F.col("missing") & (estimated_tokens(F.col("payload")) + asked_tokens > STATE_TOKENS))
+    cells = rows.select(name(ROW_ID), *(clean_cell(rows, c).alias(f"__c_{i}") for i, c in enumerate(step.columns)))
+    text, missing = joined([(c, F.col(f"__c_{i}")) for i, c in enumerate(step.columns)])
+    base = cells.select(name(ROW_ID), text.alias("payload"), missing.alias("missing"))
+    base = base.select("*", (~F.col("missing") & (estimated_tokens(F.col("payload")) + asked_tokens > STATE_TOKENS)).alias("too_long"))
+    raws = [name(raw_name(q)) for q in questions]
+    if cache is None and getattr(judge, "expressions", False):
+        put = base.select(name(ROW_ID), "missing", "too_long", F.when(~F.col("missing") & ~F.col("too_long"), F.col("payload")).alias("payload"))
+        told = judge.ask(put, questions).select(name(ROW_ID), "missing", "too_long", "payload", *(F.when(F.col("payload").isNotNull(), r).alias(raw_name(q)) for q, r in zip(questions, raws, strict=True)))
+        return Annotated(_outputs(told, step), _entries(_keyed(told, questions, model, workspace), questions), told.where("payload is not null").select(estimated_tokens(F.col("payload")).alias("tokens")))
     # answers come back by a digest: no long text is a join key, and the rows themselves leave theirs behind
-    base = base.withColumn("digest", F.when(~F.col("missing") & ~F.col("too_long"), F.sha2("payload", 256)))
+    base = materialize(base.select("*", F.when(~F.col("missing") & ~F.col("too_long"), F.sha2("payload", 256)).alias("digest")))
     payloads = base.where("digest is not null").groupBy("digest").agg(F.first("payload").alias("payload"))
     keys = [f"__key_{i}" for i in range(len(questions))]
-    keyed = payloads.select("digest", "payload", *(cache_key(F.col("payload"), q, model, workspace).alias(k) for q, k in zip(questions, keys, strict=True)))
-    known = keyed
+    known = _keyed(payloads, questions, model, workspace)
+    unknown = F.lit(True)
     if cache is not None:
         for i, k in enumerate(keys):
             known = known.join(cache.select(F.col("key").alias(k), F.col("raw").alias(f"__known_{i}")), k, "left")
         unknown = reduce(lambda a, b: a | b, [F.col(f"__known_{i}").isNull() for i in range(len(keys))])
-        fresh = judge.ask(known.where(unknown).select("digest", "payload", *keys), questions)
-        held = known.where(~unknown).select("digest", *keys, *(F.col(f"__known_{i}").alias(raw_name(q)) for i, q in enumerate(questions)))
-        told = held.unionByName(fresh.select("digest", *keys, *(name(raw_name(q)) for q in questions)))
-    else:
-        fresh = told = judge.ask(keyed, questions)
-    entries = reduce(DataFrame.unionByName, [fresh.select(F.col(k).alias("key"), name(raw_name(q)).alias("raw")) for q, k in zip(questions, keys, strict=True)]).where("raw is not null")
-    met = base.drop("payload").join(told.select("digest", *(name(raw_name(q)) for q in questions)), "digest", "left")
-    absent = F.lit("skipped" if step.on_missing == "skip" else "missing")
-    columns = []
-    for q in questions:
-        raw = name(raw_name(q))
-        for out, c in interpret(q, raw).items():
-            if out.endswith(".status"):
-                c = F.when(F.col("missing"), absent).when(F.col("too_long"), "input_too_long").otherwise(c)
-            columns.append(c.alias(out))
-        columns.append(raw)
-    return met.select(name(ROW_ID), *columns), entries
+        known = materialize(known)
+    put = known.where(unknown).select("digest", "payload", *keys, estimated_tokens(F.col("payload")).alias("tokens"))
+    fresh = materialize(judge.ask(put, questions).select("digest", "tokens", *keys, *raws))
+    told = fresh.select("digest", *raws)
+    if cache is not None:
+        told = told.unionByName(known.where(~unknown).select("digest", *(F.col(f"__known_{i}").alias(raw_name(q)) for i, q in enumerate(questions))))
+    met = base.drop("payload").join(told, "digest", "left")
+    return Annotated(_outputs(met, step), _entries(fresh, questions), fresh.select("tokens"))
 
 
 def request_estimate(rows: int, mean_tokens: float, questions: list[Question], rows_per_request: int) -> tuple[int, int]:

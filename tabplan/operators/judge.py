@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import ceil
-from typing import Any, Protocol
+from typing import Any, ClassVar, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,7 +29,10 @@ def tokens_of(text: str) -> int:
 
 
 class Judge(Protocol):
-    """ask() adds, to payloads (key, payload), a text column of JSON per question; null where no answer came."""
+    """ask() adds, to rows with a payload, a text column of JSON per question; null where no answer came.
+
+    A judge with a true attribute `expressions` answers by columns alone, so that asking costs nothing.
+    """
 
     def ask(self, payloads: DataFrame, questions: list[Question]) -> DataFrame: ...
 
@@ -54,6 +57,7 @@ class RuleJudge:
 
     yes: str = "afford"
     doubt: str = "maybe"
+    expressions: ClassVar[bool] = True
 
     @staticmethod
     def _given(text: Column) -> Column:
@@ -72,8 +76,9 @@ class RuleJudge:
         return F.to_json(F.struct(level.cast("double").alias("score"), level.cast("int").alias("level"), F.lit(0.8).alias("confidence")))
 
     def ask(self, payloads: DataFrame, questions: list[Question]) -> DataFrame:
-        text = F.lower(F.col("payload"))
-        return payloads.select("*", *(self._answer(text, q).alias(raw_name(q)) for q in questions))
+        text = F.col("__lower")
+        lowered = payloads.select("*", F.lower(F.col("payload")).alias("__lower"))
+        return lowered.select("*", *(self._answer(text, q).alias(raw_name(q)) for q in questions)).drop("__lower")
 
     def pairs(self, pairs: DataFrame, instruction: str, criteria: dict | None) -> DataFrame:
         plain = lambda c: F.lower(F.replace(F.col(c), F.lit("-"), F.lit(" ")))

@@ -22,13 +22,18 @@ def indel_distance(a: str, b: str) -> int:
 
 def token_set_ratio(a: str, b: str) -> float:
     """100 if one's tokens hold the other's; else the best of three comparisons of what is shared and what isn't."""
-    x, y = set(a.split()), set(b.split())
+    return token_sets_ratio(frozenset(a.split()), frozenset(b.split()))
+
+
+def token_sets_ratio(x: frozenset[str], y: frozenset[str]) -> float:
+    """token_set_ratio of texts whose tokens are known."""
     if not x or not y:
         return 0.0
-    shared, only_x, only_y = x & y, " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if shared and (not only_x or not only_y):
+    shared = x & y
+    if shared and (len(shared) == len(x) or len(shared) == len(y)):
         return 100.0
-    base = len(" ".join(sorted(shared)))
+    only_x, only_y = (" ".join(sorted(t - shared)) if len(t) - len(shared) > 1 else next(iter(t - shared), "") for t in (x, y))
+    base = sum(map(len, shared)) + max(0, len(shared) - 1)
     gap = 1 if base else 0
     with_x, with_y = base + gap + len(only_x), base + gap + len(only_y)
     alike = lambda distance, total: 100.0 * (1 - distance / total) if total else 100.0

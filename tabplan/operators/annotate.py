@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -107,14 +108,15 @@ def _entries(told: DataFrame, questions: list[Question]) -> DataFrame:
     return told.select(F.inline(rows)).where("raw is not null")
 
 
-def annotate(rows: DataFrame, step: Step, judge: Judge, model: str = "rules-1", workspace: str = "default", cache: DataFrame | None = None) -> Annotated:
+def annotate(rows: DataFrame, step: Step, judge: Judge, model: str = "rules-1", workspace: str = "default", cache: DataFrame | None = None, allow: Callable[[int, int], None] | None = None) -> Annotated:
     """Answers to a step's questions about rows.
 
     Only _row_id and the step's columns are read. Rows of one payload are asked about once,
     and not at all if the cache (key, raw) knows the answer; answers are written down before
     anything is made of them, so that no judge is asked twice. A judge of mere expressions,
     without a cache, answers each row where it is read, as nothing is saved by fewer
-    questions. Rows without any input get the status of the step's policy, payloads too long
+    questions. `allow` hears, before the judge is asked, for how many payloads and tokens, and
+    may raise. Rows without any input get the status of the step's policy, payloads too long
     for a request `input_too_long`.
     """
     questions: list[Question] = step.questions
@@ -124,7 +126,7 @@ def annotate(rows: DataFrame, step: Step, judge: Judge, model: str = "rules-1",
     base = cells.select(name(ROW_ID), text.alias("payload"), missing.alias("missing"))
     base = base.select("*", (~F.col("missing") & (estimated_tokens(F.col("payload")) + asked_tokens > STATE_TOKENS)).alias("too_long"))
     raws = [name(raw_name(q)) for q in questions]
-    if cache is None and getattr(judge, "expressions", False):
+    if cache is None and allow is None and getattr(judge, "expressions", False):
         put = base.select(name(ROW_ID), "missing", "too_long", F.when(~F.col("missing") & ~F.col("too_long"), F.col("payload")).alias("payload"))
         told = judge.ask(put, questions).select(name(ROW_ID), "missing", "too_long", "payload", *(F.when(F.col("payload").isNotNull(), r).alias(raw_name(q)) for q, r in zip(questions, raws, strict=True)))
         return Annotated(_outputs(told, step), _entries(_keyed(told, questions, model, workspace), questions), told.where("payload is not null").select(estimated_tokens(F.col("payload")).alias("tokens")))
@@ -140,6 +142,9 @@ def annotate(rows: DataFrame, step: Step, judge: Judge, model: str = "rules-1",
         unknown = reduce(lambda a, b: a | b, [F.col(f"__known_{i}").isNull() for i in range(len(keys))])
         known = materialize(known)
     put = known.where(unknown).select("digest", "payload", *keys, estimated_tokens(F.col("payload")).alias("tokens"))
+    if allow is not None:
+        n, tokens = put.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        allow(n, tokens + n * sum(tokens_of(json.dumps(q.signature())) + ITEM_TOKENS for q in questions))
     fresh = materialize(judge.ask(put, questions).select("digest", "tokens", *keys, *raws))
     told = fresh.select("digest", *raws)
     if cache is not None:

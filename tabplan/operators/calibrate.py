@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ class Cut:
 
 
 def otsu(counts: list[int]) -> float:
-    """The edge between bins that parts the scores best, the middle of the best edges if several are; of one bin only, its upper edge."""
+    """The edge between bins that parts the scores best, the median of the best edges if several are; of one bin only, its upper edge."""
     n = len(counts)
     filled = [i for i, c in enumerate(counts) if c]
     if len(filled) == 1:
@@ -40,7 +41,7 @@ def otsu(counts: list[int]) -> float:
             best, edges = apart, [edge]
         elif abs(apart - best) <= SAME:
             edges.append(edge)
-    return round((edges[0] + edges[-1]) / 2 / n, 4)
+    return round(median(edges) / n, 4)
 
 
 def find_cut(counts: list[int], mode: str = "auto") -> Cut:

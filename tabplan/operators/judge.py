@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from math import ceil
 from typing import Any, ClassVar, Protocol
@@ -28,6 +29,10 @@ def tokens_of(text: str) -> int:
     return ceil(len(text) / CHARS_PER_TOKEN) + 1
 
 
+class RequestFailed(Exception):
+    """A request has no answer and won't get one; its rows stay without."""
+
+
 class Judge(Protocol):
     """ask() adds, to rows with a payload, a text column of JSON per question; null where no answer came.
 
@@ -105,32 +110,43 @@ def pack(sizes: list[int], question_tokens: list[int], rows_per_request: int = R
 
 @dataclass(frozen=True)
 class BatchJudge:
-    """Asks a function that answers requests of several rows, in tasks, a batch of Arrow rows at a time.
+    """Asks a function that answers requests of several rows, in tasks, `in_flight` requests of each at once.
 
     answer(texts, questions) gives, for each text, a dict by question name: {"p"} for a
     boolean, {"choice", "confidence", "score"} for a category, {"score", "level",
     "confidence"} for a score, or None. same(lefts, rights, instruction) gives probabilities.
+    Rows of a request that raises RequestFailed have no answer, as those without one.
     """
 
     answer: Callable[[list[str], list[dict[str, Any]]], list[dict[str, Any] | None]]
     same: Callable[[list[str], list[str], str], list[float | None]] | None = None
     rows_per_request: int = ROWS_PER_REQUEST
     extra: dict = field(default_factory=dict)
+    in_flight: int = 8
 
     def ask(self, payloads: DataFrame, questions: list[Question]) -> DataFrame:
         asked = [q.signature() | {"name": q.name} for q in questions]
         tokens = [tokens_of(json.dumps(a)) for a in asked]
-        names, answer, rows = [raw_name(q) for q in questions], self.answer, self.rows_per_request
+        names, answer, rows, at_once = [raw_name(q) for q in questions], self.answer, self.rows_per_request, self.in_flight
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
                 texts = pdf["payload"].tolist()
                 out: list[list[str | None]] = [[None] * len(texts) for _ in names]
-                for request in pack([tokens_of(t) for t in texts], tokens, rows):
-                    for i, found in zip(request, answer([texts[i] for i in request], asked), strict=True):
-                        for column, a in zip(out, asked, strict=True):
-                            got = (found or {}).get(a["name"])
-                            column[i] = None if got is None else json.dumps(got)
+
+                def send(request: list[int], texts: list[str] = texts) -> list[dict[str, Any] | None]:
+                    try:
+                        return answer([texts[i] for i in request], asked)
+                    except RequestFailed:
+                        return [None] * len(request)
+
+                requests = list(pack([tokens_of(t) for t in texts], tokens, rows))
+                with ThreadPoolExecutor(at_once) as pool:
+                    for request, answers in zip(requests, pool.map(send, requests), strict=True):
+                        for i, found in zip(request, answers, strict=True):
+                            for column, a in zip(out, asked, strict=True):
+                                got = (found or {}).get(a["name"])
+                                column[i] = None if got is None else json.dumps(got)
                 yield pdf.assign(**dict(zip(names, out, strict=True)))
 
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in payloads.schema] + [f"`{n}` string" for n in names])
@@ -139,10 +155,18 @@ class BatchJudge:
     def pairs(self, pairs: DataFrame, instruction: str, criteria: dict | None) -> DataFrame:
         if self.same is None:
             raise ValueError("this judge answers no pairs")
-        same = self.same
+        same, rows, at_once = self.same, self.rows_per_request, self.in_flight
 
         @F.pandas_udf("double")
         def p(left: pd.Series, right: pd.Series) -> pd.Series:
-            return pd.Series(same(left.tolist(), right.tolist(), instruction), dtype="float64")
+            def send(at: int) -> list[float | None]:
+                some = slice(at, at + rows)
+                try:
+                    return same(left[some].tolist(), right[some].tolist(), instruction)
+                except RequestFailed:
+                    return [None] * len(left[some])
+
+            with ThreadPoolExecutor(at_once) as pool:
+                return pd.Series([x for found in pool.map(send, range(0, len(left), rows)) for x in found], dtype="float64")
 
         return pairs.withColumn("p", p("left_text", "right_text"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import nsmallest
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_set_ratio
+from ..functions.text import token_sets_ratio
 from ..plans.errors import PlanError
 from ..plans.relation import ROW_ID, name
 from ..plans.spec import Step
+from ..sources.tables import materialize
 from .annotate import clean_cell
-from .judge import Judge
+from .judge import ITEM_TOKENS, Judge, estimated_tokens, tokens_of
 
 #: Fixed values of the step: the right table goes to every task, and is refused beyond this; pairs of a job.
 MAX_RIGHT_ROWS, MAX_PAIRS = 5_000, 100_000
@@ -35,41 +37,49 @@ def candidates(left: DataFrame, right: DataFrame, step: Step) -> DataFrame:
     held = r.orderBy("rid").limit(MAX_RIGHT_ROWS + 1).collect()
     if len(held) > MAX_RIGHT_ROWS:
         raise PlanError(step.id, "right_table_too_large", f"the right table has over {MAX_RIGHT_ROWS} rows", "filter it first")
-    by_block: dict[str | None, list[tuple[int, str]]] = {}
+    by_block: dict[str | None, list[tuple[int, str, frozenset[str]]]] = {}
     for row in held:
-        by_block.setdefault(row["block"], []).append((row["rid"], row["text"]))
+        by_block.setdefault(row["block"], []).append((row["rid"], row["text"], frozenset(row["text"].split())))
+    schema = pa.schema([("_row_id", pa.int64()), ("left_text", pa.string()), ("right_row_id", pa.int64()), ("right_text", pa.string()), ("retrieval_score", pa.float64()), ("rank", pa.int32())])
     sent, best = left.sparkSession.sparkContext.broadcast(by_block), step.candidates_per_row
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_block = sent.value
         seen: dict[tuple[str | None, str], list[tuple]] = {}
-        for pdf in frames:
+        for batch in batches:
             out = []
-            for rid, text, block in zip(pdf["rid"], pdf["text"], pdf["block"], strict=True):
-                block = None if pd.isna(block) else block
+            for rid, text, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (block, text) not in seen:
                     if len(seen) > 50_000:
                         seen.clear()
-                    scored = [(-token_set_ratio(text, other), i, right_id, other) for i, (right_id, other) in enumerate(by_block.get(block, ()))]
-                    seen[block, text] = [(right_id, other, -score, k) for k, (score, _, right_id, other) in enumerate(sorted(scored)[:best])]
+                    tokens = frozenset(text.split())
+                    scored = [(-token_sets_ratio(tokens, others), i, right_id, other) for i, (right_id, other, others) in enumerate(by_block.get(block, ()))]
+                    seen[block, text] = [(right_id, other, -score, k) for k, (score, _, right_id, other) in enumerate(nsmallest(best, scored))]
                 out += [(rid, text, *found) for found in seen[block, text]]
-            yield pd.DataFrame(out, columns=["_row_id", "left_text", "right_row_id", "right_text", "retrieval_score", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(schema), schema, strict=True)], schema=schema)
 
     rows = left.select(name(ROW_ID).alias("rid"), _joined(left, step.left_columns).alias("text"), (clean_cell(left, block[0]) if block else F.lit("")).alias("block"))
-    return rows.mapInPandas(run, "_row_id long, left_text string, right_row_id long, right_text string, retrieval_score double, rank int")
+    # the rows are small and comparing them is not: they are dealt to all cores, equal ones to the same
+    return rows.repartition(left.sparkSession.sparkContext.defaultParallelism, "block", "text").mapInArrow(run, "_row_id long, left_text string, right_row_id long, right_text string, retrieval_score double, rank int")
 
 
-def match(left: DataFrame, right: DataFrame, step: Step, judge: Judge, max_pairs: int | None = None) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, step: Step, judge: Judge, max_pairs: int | None = None, allow: Callable[[int, int], None] | None = None) -> DataFrame:
     """Answers by _row_id: right_row_id, score, near, status, candidates (JSON), best_row_id and unscored.
 
     The best candidate is that of the highest probability, the first retrieved on a tie. It
     is matched from accept_min on and unmatched up to reject_max, but uncertain between, or
     if unmatched while a pair had no answer. Rows without candidates are no_candidates, and
-    those of which no pair had an answer failed.
+    those of which no pair had an answer failed. `allow` hears, before the judge is asked,
+    about how many pairs and tokens, and may raise.
     """
     found = candidates(left, right, step)
-    if max_pairs is not None and found.limit(max_pairs + 1).count() > max_pairs:
-        raise PlanError(step.id, "pair_budget", f"more than {max_pairs} pairs", "use a blocking key or fewer candidates")
+    if max_pairs is not None or allow is not None:
+        found = materialize(found)
+        n, tokens = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(estimated_tokens(F.col("left_text")) + estimated_tokens(F.col("right_text"))), F.lit(0))).first()
+        if max_pairs is not None and n > max_pairs:
+            raise PlanError(step.id, "pair_budget", f"more than {max_pairs} pairs", "use a blocking key or fewer candidates")
+        if allow is not None:
+            allow(n, tokens + n * (tokens_of(step.instruction) + ITEM_TOKENS))
     scored = judge.pairs(found, step.instruction, step.criteria)
     shown = F.struct(F.col("rank"), F.struct("right_row_id", F.col("p").alias("p_same"), F.round("retrieval_score", 3).alias("retrieval_score")).alias("c"))
     by_row = scored.groupBy(ROW_ID).agg(
@@ -91,5 +101,3 @@ def match(left: DataFrame, right: DataFrame, step: Step, judge: Judge, max_pairs
         F.col("best.id").alias(f"{n}.best_row_id"),
         F.coalesce("unscored", F.lit(0)).alias(f"{n}.unscored"),
     )
-
-

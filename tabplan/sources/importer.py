@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import gzip
 import hashlib
@@ -28,6 +29,26 @@ TRUE, FALSE = ("true", "yes", "t"), ("false", "no", "f")
 SNIFFED, NEAR_MISS = 64 << 10, 0.9
 
 
+@dataclass(frozen=True)
+class Options:
+    """How a file is to be read; what is None is found out from its beginning."""
+
+    delimiter: str | None = None
+    header: bool | None = None
+    encoding: str = "utf-8"
+    quote: str = '"'
+    null_strings: tuple[str, ...] = NULLS
+
+    def check(self) -> None:
+        for field_, text in (("delimiter", self.delimiter), ("quote", self.quote)):
+            if text is not None and len(text) != 1:
+                raise PlanError(f"options.{field_}", "length", "one character is expected")
+        try:
+            codecs.lookup(self.encoding)
+        except LookupError:
+            raise PlanError("options.encoding", "choice", f"encoding {self.encoding!r} is unknown") from None
+
+
 @dataclass
 class Report:
     delimiter: str
@@ -54,34 +75,42 @@ def sanitize(names: list[str]) -> list[str]:
     return out
 
 
-def _open(path: str):
-    return gzip.open(path, "rt", encoding="utf-8-sig", newline="") if path.endswith(".gz") else open(path, encoding="utf-8-sig", newline="")
+def _open(path: str, encoding: str = "utf-8"):
+    encoding = "utf-8-sig" if codecs.lookup(encoding).name == "utf-8" else encoding
+    return gzip.open(path, "rt", encoding=encoding, newline="") if path.endswith(".gz") else open(path, encoding=encoding, newline="")
 
 
-def sniff(path: str) -> tuple[str, bool]:
-    """(delimiter, has_header) from the beginning of the file: the delimiter that cuts most lines alike, the header if no cell of it is a number while others are."""
-    with _open(path) as f:
+def sniff(path: str, options: Options = Options()) -> tuple[str, bool]:
+    """(delimiter, has_header), as the options have them or from the beginning of the file.
+
+    The delimiter is the one that cuts most lines alike. The first line is the header unless
+    a cell of it is a number; of a file without any numbers only `header` can say otherwise.
+    """
+    options.check()
+    with _open(path, options.encoding) as f:
         sample = f.read(SNIFFED)
-    best, merit = ",", (-1, 0)
-    for d in DELIMITERS:
-        rows = [r for r in csv.reader(io.StringIO(sample), delimiter=d) if r][:200]
+    best, merit = options.delimiter or ",", (-1, 0)
+    for d in DELIMITERS if options.delimiter is None else ():
+        rows = [r for r in csv.reader(io.StringIO(sample), delimiter=d, quotechar=options.quote) if r][:200]
         if not rows:
             continue
         width = len(rows[0])
         alike = sum(len(r) == width for r in rows)
         if width > 1 and (alike, width) > merit:
             best, merit = d, (alike, width)
-    rows = [r for r in csv.reader(io.StringIO(sample), delimiter=best) if r][:200]
+    if options.header is not None:
+        return best, options.header
+    rows = [r for r in csv.reader(io.StringIO(sample), delimiter=best, quotechar=options.quote) if r][:200]
     number = re.compile(r"\s*[-+]?\d+(\.\d*)?([eE][-+]?\d+)?\s*$")
     header = bool(rows) and not any(number.match(c) for c in rows[0])
     return best, header
 
 
-def _records(path: str, delimiter: str, expected: int, has_header: bool) -> tuple[int, list[dict[str, Any]]]:
+def _records(path: str, delimiter: str, expected: int, has_header: bool, options: Options = Options()) -> tuple[int, list[dict[str, Any]]]:
     """(records, rejects with their line): the file is bounded by MAX_BYTES, and Spark tells no line numbers."""
     rejects, n = [], 0
-    with _open(path) as f:
-        reader = csv.reader(f, delimiter=delimiter)
+    with _open(path, options.encoding) as f:
+        reader = csv.reader(f, delimiter=delimiter, quotechar=options.quote)
         if has_header:
             next(reader, None)
         before = reader.line_num
@@ -136,27 +165,33 @@ def cast_cell(column: str, kind: str) -> Column:
     return c if kind == "text" else F.trim(c).try_cast(TYPES[kind])
 
 
-def read_text_table(spark: SparkSession, path: str, columns: list[str], delimiter: str, has_header: bool) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, columns: list[str], delimiter: str, has_header: bool, own: Options = Options()) -> DataFrame:
     """All cells as text, one partition in file order; malformed records carry themselves in _corrupt."""
     schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))), T.StructField("_corrupt", T.StringType())])
-    options = {"sep": delimiter, "header": has_header, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": True, "emptyValue": "", "encoding": "UTF-8"}
+    options = {"sep": delimiter, "header": has_header, "multiLine": True, "quote": own.quote, "escape": own.quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": True, "emptyValue": "", "encoding": own.encoding}
     return spark.read.schema(schema).options(**options).csv(path)
 
 
-def import_file(spark: SparkSession, path: str, out: str, permissive: bool = False, row_limit: int | None = None) -> Report:
-    """Read a file into a Parquet snapshot at `out`, with _row_id in file order; PlanError where it is refused."""
+def import_file(spark: SparkSession, path: str, out: str, permissive: bool = False, row_limit: int | None = None, options: Options = Options(), shared: str | None = None) -> Report:
+    """Read a file of the driver's disk into a Parquet snapshot at `out`, with _row_id in file order; PlanError where it is refused.
+
+    Executors read it at `shared`, or at the same path if that isn't given.
+    """
     size = os.path.getsize(path)
     if size > MAX_BYTES:
         raise PlanError("file", "file_too_large", f"{size} bytes, {MAX_BYTES} at most")
     if not size:
         raise PlanError("file", "empty_file", "the file has no bytes")
-    delimiter, has_header = sniff(path)
-    with _open(path) as f:
-        first = next((r for r in csv.reader(f, delimiter=delimiter) if r), [])
+    try:
+        delimiter, has_header = sniff(path, options)
+        with _open(path, options.encoding) as f:
+            first = next((r for r in csv.reader(f, delimiter=delimiter, quotechar=options.quote) if r), [])
+    except UnicodeDecodeError as e:
+        raise PlanError("file", "encoding", f"the file is not {options.encoding}: {e.reason}", "give another encoding") from None
     columns = sanitize(first if has_header else [f"column_{i + 1}" for i in range(len(first))])
     if any(c.lower() == ROW_ID for c in columns):
         raise PlanError("file", "reserved_name", f"{ROW_ID} is reserved")
-    records, rejects = _records(path, delimiter, len(columns), has_header)
+    records, rejects = _records(path, delimiter, len(columns), has_header, options)
     report = Report(delimiter, has_header, rejects=rejects, checksum=checksum(path))
     if not records:
         raise PlanError("file", "empty_file", "the file has no rows")
@@ -166,8 +201,8 @@ def import_file(spark: SparkSession, path: str, out: str, permissive: bool = Fal
         raise PlanError("row_limit", "range", f"1 to {MAX_ROWS} rows")
     if records - len(rejects) > MAX_ROWS and row_limit is None:
         raise PlanError("file", "too_many_rows", f"{records} rows, {MAX_ROWS} at most", "give a row_limit")
-    read = read_text_table(spark, path, columns, delimiter, has_header).cache()  # a cache keeps _corrupt apart from column pruning
-    sound = read.where("_corrupt is null").select(F.monotonically_increasing_id().alias("__at"), *(F.when(~name(f"c{i}").isin(*NULLS), name(f"c{i}")).alias(c) for i, c in enumerate(columns)))
+    read = read_text_table(spark, shared or path, columns, delimiter, has_header, options).cache()  # a cache keeps _corrupt apart from column pruning
+    sound = read.where("_corrupt is null").select(F.monotonically_increasing_id().alias("__at"), *(F.when(~name(f"c{i}").isin(*options.null_strings) if options.null_strings else F.lit(True), name(f"c{i}")).alias(c) for i, c in enumerate(columns)))
     # multiLine reads a file in one task, so that the ids of its one partition are dense and in file order
     if row_limit is not None:
         sound = sound.where(F.col("__at") < row_limit)
@@ -197,18 +232,18 @@ def statistics(df: DataFrame, kinds: dict[str, str]) -> list[dict[str, Any]]:
     return out
 
 
-def preview(spark: SparkSession, path: str, rows: int = 20) -> tuple[list[str], list[list[str | None]]]:
+def preview(spark: SparkSession, path: str, rows: int = 20, options: Options = Options()) -> tuple[list[str], list[list[str | None]]]:
     """(names, first rows) of a file as text; nothing is kept."""
-    delimiter, has_header = sniff(path)
-    with _open(path) as f:
-        reader = (r for r in csv.reader(f, delimiter=delimiter) if r)
+    delimiter, has_header = sniff(path, options)
+    with _open(path, options.encoding) as f:
+        reader = (r for r in csv.reader(f, delimiter=delimiter, quotechar=options.quote) if r)
         first = next(reader, [])
         head = [] if has_header else [first]
         for r in reader:
             if len(head) >= min(rows, 100):
                 break
             head.append(r)
-    return sanitize(first if has_header else [f"column_{i + 1}" for i in range(len(first))]), [[None if c in NULLS else c for c in r] for r in head]
+    return sanitize(first if has_header else [f"column_{i + 1}" for i in range(len(first))]), [[None if c in options.null_strings else c for c in r] for r in head]
 
 
 def checksum(path: str) -> str:
@@ -216,13 +251,10 @@ def checksum(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def write_error_report(report: Report, folder: str) -> None:
-    os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/rejects.csv", "w", newline="", encoding="utf-8") as f:
-        w = csv.DictWriter(f, ["line", "column", "error_type", "error"])
-        w.writeheader()
-        w.writerows(report.rejects)
-    with open(f"{folder}/report.json", "w", encoding="utf-8") as f:
-        json.dump(asdict(report), f, indent=1)
-
-
+def error_report(report: Report) -> dict[str, str]:
+    """The files of a report on an import, by name."""
+    out = io.StringIO(newline="")
+    w = csv.DictWriter(out, ["line", "column", "error_type", "error"])
+    w.writeheader()
+    w.writerows(report.rejects)
+    return {"rejects.csv": out.getvalue(), "report.json": json.dumps(asdict(report), indent=1)}

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import json
-import os
 import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
+from ..sources.files import Files
 from .jobs import Job, State
 
 #: Seconds of silence after which a running job is taken over, and between two signs of life.
@@ -20,28 +20,23 @@ class Worker:
     """open_job makes a Job of a folder; several workers can share one root."""
 
     def __init__(self, root: str, open_job: Callable[[str], Job], clock: Callable[[], float] = time.time):
-        self.root, self.open_job, self.clock, self.id = root, open_job, clock, uuid.uuid4().hex
+        self.root, self.open_job, self.clock, self.id, self.files = root, open_job, clock, uuid.uuid4().hex, Files()
 
     def _read(self, folder: str, file: str) -> dict:
-        with contextlib.suppress(OSError, ValueError), open(f"{folder}/{file}", encoding="utf-8") as f:
-            return json.load(f)
-        return {}
+        return json.loads(self.files.read(f"{folder}/{file}") or "{}")
 
     def _beat(self, folder: str) -> None:
-        with open(f"{folder}/worker.{self.id}", "w", encoding="utf-8") as f:
-            json.dump({"worker": self.id, "at": self.clock()}, f)
-        os.replace(f"{folder}/worker.{self.id}", f"{folder}/worker.json")
+        self.files.write(f"{folder}/worker.json", json.dumps({"worker": self.id, "at": self.clock()}))
 
     def claim(self) -> str | None:
         """The folder of a job that is this worker's from now on."""
         found = []
-        for entry in os.scandir(self.root):
-            state, last = self._read(entry.path, "state.json").get("state"), self._read(entry.path, "worker.json")
+        for folder in (f"{self.root}/{n}" for n in self.files.names(self.root)):
+            state, last = self._read(folder, "state.json").get("state"), self._read(folder, "worker.json")
             if state in ("queued", "running") and self.clock() - last.get("at", 0) > STALE_SECONDS:
-                found.append((state == "running", os.path.getmtime(f"{entry.path}/state.json"), entry.path, last.get("worker", "none")))
+                found.append((state == "running", self.files.modified(f"{folder}/state.json"), folder, last.get("worker", "none")))
         for _, _, folder, last in sorted(found):
-            with contextlib.suppress(FileExistsError):  # of two workers, one makes the file that follows the last claim
-                os.close(os.open(f"{folder}/claimed_after.{last}", os.O_CREAT | os.O_EXCL))
+            if self.files.create(f"{folder}/claimed_after.{last}"):  # of two workers, one makes the file that follows the last claim
                 self._beat(folder)
                 return folder
         return None

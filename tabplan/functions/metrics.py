@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rowids import counted_ids
+
 
 def _ratio(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    """Null where there is nothing to divide by."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
 
 
 def precision_recall(found: DataFrame, gold: DataFrame, key: str) -> DataFrame:
-    """(tp, fp, fn, precision, recall, f1, jaccard) of two sets of keys; null keys are in neither."""
+    """(tp, fp, fn, precision, recall, f1, jaccard) of two sets of keys; null keys are in neither.
+
+    Without found keys there is no precision, without gold ones no recall, without either no
+    f1 and no jaccard.
+    """
     f = found.select(F.col(key).alias("k"), F.lit(1).alias("f")).where("k is not null").distinct()
     g = gold.select(F.col(key).alias("k"), F.lit(1).alias("g")).where("k is not null").distinct()
     both = f.join(g, "k", "full")
@@ -28,41 +35,42 @@ def _contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(kappa) of two labellings of the same rows; 1 if chance alone would make them agree."""
+    """(kappa) of two labellings of the same rows; 1 if chance alone would make them agree, null without rows."""
     cells = _contingency(df, a, b)
     chosen = cells.where("x = y").agg(F.sum("n").alias("agree"), F.sum(F.col("nx").cast("double") * F.col("ny")).alias("chance"))
     total = cells.agg(F.max("total").alias("t"))
     po, pe = F.coalesce("agree", F.lit(0)) / F.col("t"), F.coalesce("chance", F.lit(0.0)) / (F.col("t").cast("double") * F.col("t"))
-    return chosen.crossJoin(total).select(F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0).alias("kappa"))
+    return chosen.crossJoin(total).select(F.when(F.col("t") > 0, F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0)).alias("kappa"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(ari) of two clusterings."""
+    """(ari) of two clusterings; null below two rows."""
     cells = _contingency(df, a, b)
     pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2
     # each margin's pairs are shared out over its cells, so that one pass sums them
     got = cells.agg(F.sum(pairs("n")).alias("s"), F.sum(pairs("nx") * F.col("n") / F.col("nx")).alias("sx"), F.sum(pairs("ny") * F.col("n") / F.col("ny")).alias("sy"), F.max(pairs("total")).alias("t"))
-    expected, most = F.col("sx") * F.col("sy") / F.col("t"), (F.col("sx") + F.col("sy")) / 2
-    return got.select(F.when(most != expected, (F.col("s") - expected) / (most - expected)).otherwise(1.0).alias("ari"))
+    expected, most = F.try_divide(F.col("sx") * F.col("sy"), F.col("t")), (F.col("sx") + F.col("sy")) / 2
+    return got.select(F.when(F.col("t") > 0, F.when(most != expected, (F.col("s") - expected) / (most - expected)).otherwise(1.0)).alias("ari"))
 
 
 def normalized_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(nmi) of two clusterings, by the mean of both entropies."""
+    """(nmi) of two clusterings, by the geometric mean of both entropies; of two without entropy 1, of one without or no rows null."""
     cells = _contingency(df, a, b)
     n, nx, ny, t = (F.col(c).cast("double") for c in ("n", "nx", "ny", "total"))
     got = cells.agg(F.sum(n / t * F.log(n * t / (nx * ny))).alias("mi"), F.sum(-n / t * F.log(nx / t)).alias("hx"), F.sum(-n / t * F.log(ny / t)).alias("hy"))
-    mean = (F.col("hx") + F.col("hy")) / 2
-    return got.select(F.when(mean > 0, F.col("mi") / mean).otherwise(1.0).alias("nmi"))
+    mean = F.sqrt(F.col("hx") * F.col("hy"))
+    return got.select(F.when(mean > 0, F.col("mi") / mean).when((F.col("hx") <= 0) & (F.col("hy") <= 0), 1.0).alias("nmi"))
 
 
 def spearman(left: DataFrame, right: DataFrame, key: str, score: str) -> DataFrame:
-    """(rho, n) of two rankings on their common keys, ranks by score, greatest first, then key; null below two keys."""
+    """(rho, n) of two rankings on their common keys, ranks by score, greatest first, then key; null below three keys."""
     met = left.select(F.col(key).alias("k"), F.col(score).alias("a")).join(right.select(F.col(key).alias("k"), F.col(score).alias("b")), "k")
-    rank = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc_nulls_last(), "k"))
-    ranked = met.select((rank("a") - rank("b")).cast("double").alias("d"))
-    got = ranked.agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count(F.lit(1)).alias("n"))
+    by_a, _ = counted_ids(met, [F.col("a").desc_nulls_last(), F.col("k")], "ra")
+    ranked, _ = counted_ids(by_a, [F.col("b").desc_nulls_last(), F.col("k")], "rb")
+    d = (F.col("ra") - F.col("rb")).cast("double")
+    got = ranked.agg(F.sum(d * d).alias("s"), F.count(F.lit(1)).alias("n"))
     n = F.col("n").cast("double")
-    return got.select(F.when(n > 1, 1 - 6 * F.col("s") / (n * (n * n - 1))).alias("rho"), "n")
+    return got.select(F.when(n > 2, 1 - 6 * F.col("s") / (n * (n * n - 1))).alias("rho"), "n")
 
 
 def top_k_overlap(left: DataFrame, right: DataFrame, key: str, score: str, k: int) -> DataFrame:
@@ -80,6 +88,18 @@ def class_report(df: DataFrame, gold: str, found: str) -> DataFrame:
     return got.select("label", "support", _ratio(tp, F.col("said")).alias("precision"), _ratio(tp, F.col("support")).alias("recall"), _ratio(2 * tp, F.col("said") + F.col("support")).alias("f1"))
 
 
+def class_summary(df: DataFrame, gold: str, found: str, classes: list[str]) -> DataFrame:
+    """(macro_f1, accuracy_in_scope): the mean f1 of some classes, and the share of right rows among those that either side puts in one of them.
+
+    A class that neither side has is left out of the mean; without any, both are null.
+    """
+    per = class_report(df, gold, found).where(F.col("label").isin(*classes))
+    rows = df.where(F.col(gold).isNotNull()).select(F.col(gold).cast("string").alias("g"), F.col(found).cast("string").alias("f"))
+    scope = rows.where(F.col("g").isin(*classes) | F.coalesce(F.col("f").isin(*classes), F.lit(False)))
+    right = scope.agg(F.avg(F.coalesce(F.col("g") == F.col("f"), F.lit(False)).cast("int")).alias("accuracy_in_scope"))
+    return per.agg(F.avg("f1").alias("macro_f1")).select("macro_f1", right.scalar().alias("accuracy_in_scope"))
+
+
 def cell_errors(found: DataFrame, gold: DataFrame, keys: list[str], value: str, tolerance: float = 0.005) -> DataFrame:
     """(cells, exact, within_1pct, wrong, missing, extra) of a table of sums against the true one."""
     f = found.select(*keys, F.col(value).alias("a"), F.lit(1).alias("has_a"))
@@ -99,6 +119,14 @@ def score_summary(df: DataFrame, score: str, bins: int = 10) -> DataFrame:
 
 def nearest_rank(df: DataFrame, score: str, shares: list[float]) -> DataFrame:
     """(share, value): nearest-rank percentiles, exact."""
-    ranked = df.where(F.col(score).isNotNull()).select(F.col(score).alias("value"), F.row_number().over(Window.orderBy(score)).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    wanted = F.explode(F.array(*map(F.lit, shares)))
-    return ranked.select("value", "r", "n", wanted.alias("share")).where(F.col("r") == F.least(F.floor(F.col("share") * F.col("n")) + 1, F.col("n"))).select("share", "value")
+    ranked, n = counted_ids(df.where(F.col(score).isNotNull()).select(F.col(score).alias("value")), [F.col("value")], "r")
+    wanted = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("share"), F.lit(min(int(x * n), n - 1)).cast("bigint").alias("at")) for x in shares)))
+    return ranked.select("value", "r", wanted.alias("w")).where("r = w.at").select("w.share", "value")
+
+
+def score_percentiles(df: DataFrame, score: str) -> DataFrame:
+    """(n, min, p50, p90, p99, max) of scores, by nearest rank; nulls are left out."""
+    shares = {"min": 0.0, "p50": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
+    found = nearest_rank(df, score, list(shares.values()))
+    n = df.where(F.col(score).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    return found.agg(*(F.max(F.when(F.col("share") == x, F.col("value"))).alias(c) for c, x in shares.items())).select(n.scalar().alias("n"), *shares)

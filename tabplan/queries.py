@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import gzip
+import io
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -13,9 +17,13 @@ from .engine import answer_all
 from .functions import metrics
 from .operators.calibrate import histogram, find_cut
 from .operators.judge import RuleJudge
+from .operators.rowids import counted_ids
 from .plans.relation import Relation, name
 from .plans.spec import parse_plan
-from .sources.tables import Resolver, with_row_ids
+from .sources import export as exporting
+from .sources.catalog import Catalog
+from .sources.tables import Resolver, shared_folder, with_row_ids
+from .streaming.jobs import Job, Limits
 
 KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
         "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]}
@@ -126,6 +134,9 @@ plan("filter_in", f"SELECT _row_id, o_orderkey, o_orderpriority FROM {base('orde
 plan("filter_null_2valued", f"WITH j AS (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)), r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS _row_id, * FROM j) SELECT _row_id, doc_id, quality::BIGINT AS quality FROM r WHERE coalesce(quality <> 1, false)", "documents", {"op": "join", "right": {"dataset_id": "labels"}, "on": [{"left": "doc_id", "right": "doc_id"}], "how": "left", "right_columns": ["quality"], "right_prefix": ""}, where(call("ne", "quality", 1)), compute(q=call("coalesce", "quality", -1)), project("doc_id", "quality"))
 QUERIES["filter_null_2valued"] = (lambda f: lambda s, d: f(s, d).withColumn("quality", F.col("quality").cast("bigint")))(QUERIES["filter_null_2valued"])
 
+plan("filter_lte", f"SELECT _row_id, p_size FROM {base('part')} WHERE p_size <= 7", "part", where(call("lte", "p_size", 7)), project("p_size"))
+plan("filter_in_null", f"WITH j AS (SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS _row_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT _row_id, quality, coalesce(quality = 1, false) OR NULL AS listed FROM j", "documents", {"op": "join", "right": {"dataset_id": "labels"}, "on": [{"left": "doc_id", "right": "doc_id"}], "how": "left", "right_columns": ["quality"], "right_prefix": ""}, compute(listed=call("in", "quality", lit([1, None]))), project("quality", "listed"))
+
 # ---- expressions
 
 plan("expr_string", f"SELECT _row_id, contains(p_name, 'a') AS c, contains(lower(p_type), lower('STEEL')) AS i, starts_with(p_brand, 'Brand#1') AS s, ends_with(p_brand, '3') AS e, lower(p_type) AS lo, upper(p_name) AS u, trim(p_name) AS t, length(p_name) AS n, replace(p_brand, 'Brand', 'B') AS r FROM {base('part')}", "part", compute(c=call("contains", "p_name", lit("a")), i=call("icontains", "p_type", lit("STEEL")), s=call("starts_with", "p_brand", lit("Brand#1")), e=call("ends_with", "p_brand", lit("3")), lo=call("lower", "p_type"), u=call("upper", "p_name"), t=call("trim", "p_name"), n=call("length", "p_name"), r=call("replace", "p_brand", lit("Brand"), lit("B"))), project("c", "i", "s", "e", "lo", "u", "t", "n", "r"))
@@ -137,8 +148,21 @@ plan("expr_coalesce", f"SELECT _row_id, coalesce(TRY_CAST(regexp_replace(event_t
 
 # ---- sort, project, distinct, limit
 
-plan("sort_nulls_last", "WITH j AS (SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS _row_id, d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT _row_id, doc_id, quality FROM j ORDER BY quality DESC NULLS LAST, _row_id LIMIT 500", "documents", {"op": "join", "right": {"dataset_id": "labels"}, "on": [{"left": "doc_id", "right": "doc_id"}], "how": "left", "right_columns": ["quality"], "right_prefix": ""}, sort("-quality"), {"op": "limit", "n": 500}, project("doc_id", "quality"))
-plan("sort_tiebreak", f"SELECT _row_id, o_orderpriority FROM {base('orders')} ORDER BY o_orderpriority NULLS LAST, _row_id LIMIT 300", "orders", sort("o_orderpriority"), {"op": "limit", "n": 300}, project("o_orderpriority"))
+
+
+def placed(key: str, sql: str, source: str, *steps: dict) -> None:
+    """A query that tells each row's place in the output's order."""
+    described = parse_plan(plan_of(source, *steps))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        relation = answer_all(described, resolver(spark, sf_dir), JUDGE)[described.output]
+        return counted_ids(relation.df, relation.order(), "place")[0].select(*(name(f.name) for f in relation.fields), "place")
+
+    QUERIES[key], SQL[key] = query, sql
+
+
+placed("sort_nulls_last", "WITH j AS (SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS _row_id, d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT _row_id, doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, _row_id) - 1 AS place FROM j", "documents", {"op": "join", "right": {"dataset_id": "labels"}, "on": [{"left": "doc_id", "right": "doc_id"}], "how": "left", "right_columns": ["quality"], "right_prefix": ""}, sort("-quality"), project("doc_id", "quality"))
+placed("sort_tiebreak", f"SELECT _row_id, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority NULLS LAST, _row_id) - 1 AS place FROM {base('orders')}", "orders", sort("o_orderpriority"), project("o_orderpriority"))
 plan("sort_limit_topk", f"SELECT _row_id, o_orderkey, o_totalprice FROM {base('orders')} ORDER BY o_totalprice DESC NULLS LAST, _row_id LIMIT 50", "orders", sort("-o_totalprice"), {"op": "limit", "n": 50}, project("o_orderkey", "o_totalprice"))
 plan("limit_default_order", f"SELECT _row_id, c_custkey FROM {base('customer')} ORDER BY _row_id LIMIT 100", "customer", {"op": "limit", "n": 100}, project("c_custkey"))
 plan("project_reorder", f"SELECT _row_id, p_type, p_brand, p_partkey FROM {base('part')}", "part", project("p_type", "p_brand", "p_partkey"))
@@ -204,6 +228,78 @@ plan("match_blocked", None, "customer", _MATCH | {"left_columns": ["c_name"], "r
 plan("match_unblocked_topk", None, "nation", _MATCH | {"right": {"dataset_id": "nation"}, "left_columns": ["n_name"], "right_columns": ["n_name"], "candidates_per_row": 3, "right_output_columns": ["n_name"]}, project("n_name", "match.score", "match.candidates", "match.n_name"))
 plan("match_decision", f"SELECT row_number() OVER (ORDER BY match_status) - 1 AS _row_id, * FROM (SELECT 'matched' AS match_status, count(*) AS n, count(*) AS right_rows FROM {base('nation')})", "nation", _MATCH | {"right": {"dataset_id": "nation"}, "left_columns": ["n_name"], "right_columns": ["n_name"], "right_output_columns": ["n_name"]}, aggregate(["match.status"], ("n", "count"), ("right_rows", "count_distinct", "match.right_row_id")))
 
+plan("match_thresholds", _SCORES + "SELECT _row_id, score AS match_score, CASE WHEN score >= 0.8 THEN 'matched' WHEN score <= 0.3 THEN 'unmatched' ELSE 'uncertain' END AS match_status, CASE WHEN score > 0.3 THEN 0 END AS match_right_row_id FROM s", "scored", _MATCH | {"right": {"dataset_id": "region"}, "left_columns": ["text"], "right_columns": ["r_regionkey"], "candidates_per_row": 1}, project("match.score", "match.status", "match.right_row_id"))
+plan("match_calibrated", _SCORES + "SELECT s._row_id, s.score AS match_score, CASE WHEN s.score >= k.cut THEN 'matched' ELSE 'unmatched' END AS match_status, abs(s.score - k.cut) <= 0.10 + 1e-12 AS match_near FROM s, k", "scored", _MATCH | {"right": {"dataset_id": "region"}, "left_columns": ["text"], "right_columns": ["r_name"], "threshold_mode": "auto"}, project("match.score", "match.status", "match.near"))
+plan("match_no_candidates", f"SELECT c._row_id, CASE WHEN s.s_suppkey IS NULL THEN 'no_candidates' ELSE 'unmatched' END AS match_status, CASE WHEN s.s_suppkey IS NOT NULL THEN 0.05::DOUBLE END AS match_score, s.s_suppkey IS NULL AS bare FROM {base('customer')} c LEFT JOIN supplier s ON c.c_custkey = s.s_suppkey", "customer", _MATCH | {"left_columns": ["c_name"], "right_columns": ["s_name"], "blocking": {"left": "c_custkey", "right": "s_suppkey"}, "right_output_columns": ["s_name"]}, compute(bare=call("eq", "match.candidates", lit("[]"))), project("match.status", "match.score", "bare"))
+
+# ---- import, export, jobs
+
+
+def _shared(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> tuple[Catalog, str]:
+    """nation, of 25 rows, as a gzipped file with semicolons, imported into a catalog."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+    text = io.StringIO(newline="")
+    csv.writer(text, delimiter=";").writerows([("n_nationkey", "n_name", "n_regionkey", "code"), *((r.n_nationkey, r.n_name, r.n_regionkey or "N/A", f"{r.n_nationkey:03d}") for r in rows)])
+    catalog = Catalog(spark, _shared(spark))
+    return catalog, catalog.import_dataset(gzip.compress(text.getvalue().encode()), "nation")
+
+
+_NATION = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row_id, n_nationkey::BIGINT AS n_nationkey, n_name, nullif(n_regionkey, 0)::BIGINT AS n_regionkey, lpad(n_nationkey::VARCHAR, 3, '0') AS code FROM nation"
+
+
+@query("import_csv", _NATION)
+def import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, dataset = _imported(spark, sf_dir)
+    return catalog.version(dataset)
+
+
+@query("import_patched", f"WITH n AS ({_NATION}) SELECT _row_id, n_nationkey, CASE WHEN _row_id = 2 THEN 'elsewhere' ELSE n_name END AS n_name, CASE WHEN _row_id = 3 THEN NULL ELSE n_regionkey END AS n_regionkey, code FROM n")
+def import_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, dataset = _imported(spark, sf_dir)
+    catalog.patch(dataset, [(2, "n_name", "nowhere"), (2, "n_name", "elsewhere"), (3, "n_regionkey", None)])
+    return catalog.version(dataset)
+
+
+@query("import_statistics", f"WITH n AS ({_NATION}), u AS (SELECT 'n_nationkey' AS name, 'integer' AS type, n_nationkey::VARCHAR AS v FROM n UNION ALL SELECT 'n_name', 'text', n_name FROM n UNION ALL SELECT 'n_regionkey', 'integer', n_regionkey::VARCHAR FROM n UNION ALL SELECT 'code', 'text', code FROM n) SELECT name, type, count(*) - count(v) AS null_count, max(length(v))::INT AS max_length FROM u GROUP BY name, type")
+def import_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, dataset = _imported(spark, sf_dir)
+    found = [(c["name"], c["type"], c["null_count"], c["max_length"]) for c in catalog.describe(dataset)["columns"]]
+    return spark.createDataFrame(found, "name string, type string, null_count long, max_length int")
+
+
+_EXPORTED = plan_of("part", compute(cell=call("case", call("gt", "p_size", 25), lit("=1+1"), call("gt", "p_size", 20), lit('say "a, b"'), "p_name"), number=call("sub", 0, "p_size")), project("p_partkey", "cell", "number"))
+_CELL = "CASE WHEN p_size > 25 THEN {} || '=1+1' WHEN p_size > 20 THEN 'say \"a, b\"' ELSE p_name END AS cell"
+
+
+@query("export_csv", f"SELECT _row_id, p_partkey, {_CELL.format('chr(39)')}, -p_size::BIGINT AS number FROM {base('part')}")
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, described = _shared(spark), parse_plan(_EXPORTED)
+    exporting.export(described, answer_all(described, resolver(spark, sf_dir), JUDGE), described.output, out)
+    return spark.read.schema("_row_id long, p_partkey long, cell string, number long").csv(out, header=True, escape='"')
+
+
+@query("export_parquet", f"SELECT _row_id, p_partkey, {_CELL.format(repr(''))}, -p_size::BIGINT AS number FROM {base('part')}")
+def export_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, described = _shared(spark), parse_plan(_EXPORTED)
+    exporting.export(described, answer_all(described, resolver(spark, sf_dir), JUDGE), described.output, out, "parquet")
+    return spark.read.parquet(out)
+
+
+@query("job_resume", SQL["annotate_boolean_fixed"])
+def job_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that stops at its limit of requests, and one of the same folder that goes on where it stopped."""
+    folder, described = _shared(spark), parse_plan(plan_of("documents", _ANNOTATE, _SHOW))
+    run = lambda requests: Job(spark, folder, described, resolver(spark, sf_dir), JUDGE, Limits(300_000, requests, 1e6, 10**6), chunk_rows=5_000)
+    run(1).run()
+    job = run(10**6)
+    job.run()
+    return shown(job.relations()[described.output])
+
+
 # ---- results
 
 
@@ -278,7 +374,7 @@ def metrics_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.adjusted_rand(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source"), "lang", "source"))
 
 
-@query("metrics_nmi", _PAIRS + "SELECT round((SELECT sum(n.n / t.n * ln(n.n * t.n / (x.n * y.n))) FROM n JOIN x USING (lang) JOIN y USING (source), t) / (((SELECT -sum(x.n / t.n * ln(x.n / t.n)) FROM x, t) + (SELECT -sum(y.n / t.n * ln(y.n / t.n)) FROM y, t)) / 2), 8) AS nmi")
+@query("metrics_nmi", _PAIRS + "SELECT round((SELECT sum(n.n / t.n * ln(n.n * t.n / (x.n * y.n))) FROM n JOIN x USING (lang) JOIN y USING (source), t) / sqrt((SELECT -sum(x.n / t.n * ln(x.n / t.n)) FROM x, t) * (SELECT -sum(y.n / t.n * ln(y.n / t.n)) FROM y, t)), 8) AS nmi")
 def metrics_nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.normalized_mutual_information(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source"), "lang", "source"))
 
@@ -300,6 +396,16 @@ def metrics_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.class_report(_labels(spark, sf_dir), "quality", "toxic"))
 
 
+@query("metrics_class_summary", "WITH l AS (SELECT unnest([0, 1]) AS label), c AS (SELECT label, 2 * count(*) FILTER (quality = label AND toxic = label) / nullif(count(*) FILTER (toxic = label) + count(*) FILTER (quality = label), 0)::DOUBLE AS f1 FROM l, labels GROUP BY label) SELECT round((SELECT avg(f1) FROM c), 8) AS macro_f1, round((SELECT avg((quality = toxic)::INT) FROM labels), 8) AS accuracy_in_scope")
+def metrics_class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.class_summary(_labels(spark, sf_dir), "quality", "toxic", ["0", "1"]))
+
+
+@query("metrics_score_percentiles", "WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT max(n) AS n, min(v) AS min, max(v) FILTER (r = floor(0.5 * n)) AS p50, max(v) FILTER (r = floor(0.9 * n)) AS p90, max(v) FILTER (r = floor(0.99 * n)) AS p99, max(v) AS max FROM r")
+def metrics_score_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.score_percentiles(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_totalprice")
+
+
 @query("metrics_score_summary", "SELECT least(floor(l_discount * 10)::INT, 9) AS bin, count(*) AS n, min(l_discount) AS low, max(l_discount) AS high FROM lineitem GROUP BY 1")
 def metrics_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.score_summary(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_discount")

@@ -49,7 +49,7 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, path: str, text: str = "") -> bool:
+    def create(self, path: str, text: str | bytes = "") -> bool:
         """A new file; false, and nothing changed, if there is one already, also if another process makes it at once."""
         fs, p = self._at(path)
         try:
@@ -58,7 +58,7 @@ class Files:
             if fs.exists(p):
                 return False
             raise e
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(text if isinstance(text, bytes) else text.encode()))
         stream.close()
         return True
 

@@ -75,12 +75,15 @@ def sanitize(names: list[str]) -> list[str]:
     return out
 
 
-def _open(path: str, encoding: str = "utf-8"):
+def _open(path: str | bytes, encoding: str = "utf-8"):
+    """The text of a file of the driver's disk, or of its bytes."""
     encoding = "utf-8-sig" if codecs.lookup(encoding).name == "utf-8" else encoding
+    if isinstance(path, bytes):
+        return io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(path)) if path[:2] == b"\x1f\x8b" else io.BytesIO(path), encoding, newline="")
     return gzip.open(path, "rt", encoding=encoding, newline="") if path.endswith(".gz") else open(path, encoding=encoding, newline="")
 
 
-def sniff(path: str, options: Options = Options()) -> tuple[str, bool]:
+def sniff(path: str | bytes, options: Options = Options()) -> tuple[str, bool]:
     """(delimiter, has_header), as the options have them or from the beginning of the file.
 
     The delimiter is the one that cuts most lines alike. The first line is the header unless
@@ -106,7 +109,7 @@ def sniff(path: str, options: Options = Options()) -> tuple[str, bool]:
     return best, header
 
 
-def _records(path: str, delimiter: str, expected: int, has_header: bool, options: Options = Options()) -> tuple[int, list[dict[str, Any]]]:
+def _records(path: str | bytes, delimiter: str, expected: int, has_header: bool, options: Options = Options()) -> tuple[int, list[dict[str, Any]]]:
     """(records, rejects with their line): the file is bounded by MAX_BYTES, and Spark tells no line numbers."""
     rejects, n = [], 0
     with _open(path, options.encoding) as f:
@@ -172,12 +175,12 @@ def read_text_table(spark: SparkSession, path: str, columns: list[str], delimite
     return spark.read.schema(schema).options(**options).csv(path)
 
 
-def import_file(spark: SparkSession, path: str, out: str, permissive: bool = False, row_limit: int | None = None, options: Options = Options(), shared: str | None = None) -> Report:
-    """Read a file of the driver's disk into a Parquet snapshot at `out`, with _row_id in file order; PlanError where it is refused.
+def import_file(spark: SparkSession, path: str | bytes, out: str, permissive: bool = False, row_limit: int | None = None, options: Options = Options(), shared: str | None = None) -> Report:
+    """Read a file of the driver's disk, or its bytes, into a Parquet snapshot at `out`, with _row_id in file order; PlanError where it is refused.
 
     Executors read it at `shared`, or at the same path if that isn't given.
     """
-    size = os.path.getsize(path)
+    size = len(path) if isinstance(path, bytes) else os.path.getsize(path)
     if size > MAX_BYTES:
         raise PlanError("file", "file_too_large", f"{size} bytes, {MAX_BYTES} at most")
     if not size:
@@ -246,7 +249,9 @@ def preview(spark: SparkSession, path: str, rows: int = 20, options: Options = O
     return sanitize(first if has_header else [f"column_{i + 1}" for i in range(len(first))]), [[None if c in options.null_strings else c for c in r] for r in head]
 
 
-def checksum(path: str) -> str:
+def checksum(path: str | bytes) -> str:
+    if isinstance(path, bytes):
+        return hashlib.sha256(path).hexdigest()
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
 

@@ -85,12 +85,24 @@ class Ids:
 
 
 def pack(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(values), "zstd", asbytes=True)
+    """Numbers compressed byte by byte of their significance: those of small numbers, or of like ones, take next to nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes), "zstd", asbytes=True)
 
 
 def unpack(packed: bytes, kind: type) -> np.ndarray:
-    n = int.from_bytes(packed[:8], "little") * np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(packed[8:], n, "zstd"), kind)
+    n, size = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed[8:], n * size, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """As pack(), of rising numbers: the steps between them."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
 
 
 def chunks(texts: DataFrame, words: list[str] | None = None) -> DataFrame:
@@ -175,13 +187,13 @@ def look_up(found: DataFrame, buckets: int) -> DataFrame:
             bucket = (grams.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             ends = [*np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
             starts = [0, *ends[:-1]]
-            rows = [(chunk, int(bucket[i]), is_target, grams.keys[i:j].tobytes(), pack(grams.times[i:j].astype(np.int64))) for i, j in zip(starts, ends, strict=True)]
+            rows = [(chunk, int(bucket[i]), is_target, pack_sorted(grams.keys[i:j]), pack(grams.times[i:j].astype(np.int64))) for i, j in zip(starts, ends, strict=True)]
             for i in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 256], strict=True), sent, strict=True)], schema=sent)
 
     def add(rows: pa.Table) -> pa.Table:
         bucket = rows["bucket"][0].as_py()
-        keys = [np.frombuffer(k, np.uint64) for k in rows["keys"].to_pylist()]
+        keys = [unpack_sorted(k) for k in rows["keys"].to_pylist()]
         is_target = np.repeat(rows["is_target"].to_numpy(), [len(k) for k in keys])
         times = np.concatenate([unpack(t, np.int64) for t in rows["times"].to_pylist()])
         different, place = np.unique(np.concatenate(keys), return_inverse=True)

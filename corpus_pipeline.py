@@ -11,6 +11,7 @@ from tabplan.llm.mixing import mix_documents
 from tabplan.llm.queries import bpe_digests
 from tabplan.llm.simhash import keep_one_each
 from tabplan.llm.toxicity import drop_toxic
+from tabplan.sources.files import Files
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of `documents`, each written to the shared folder and read again."""
-    folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    """All stages over the whole of `documents`, each written to the shared folder and read again; the last one's rows stay there."""
+    folder, files, before = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}", Files(spark), None
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        written = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before is not None:  # no one reads it any more
+            files.delete(before)
+        before = written
     return docs

@@ -71,7 +71,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(id, size, text_crc32, shard, slot) of each row of docs, under the law `rows`: counts of shards are at most one apart.
 
-    Equal texts are linked. Linked documents move by label propagation, then all the rest
+    Equal texts, by 128 bits of hash, are linked. Linked documents move by label propagation, then all the rest
     fills the shards up to the quotas; what a shard holds beyond its quota counts with
     the rest. size is the UTF-8 bytes of the text and 1; null texts are empty and equal to
     empty ones. slot counts a shard's rows from 0 without gaps. Repeated rows are rows of
@@ -83,7 +83,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).cast("long").alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.sha2(text.cast("binary"), 256).alias("grp"),
+        F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16).alias("grp"),
         F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id()), F.lit(SEED)).alias("h"),
     )
     nodes = materialize(read)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import apart, materialize, small
 
 SHARDS, ROUNDS = 8, 6
-#: Rows that a task ranks together, in the mean.
-RANKED = 4_000
+#: Rows that a task ranks together, in the mean, and rows of a group that lie together at most.
+RANKED, PIECE = 4_000, 250
 SEED = 77
 
 
@@ -96,7 +96,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settled = propagate(linked, quota, rounds)
 
     # groups lie together in a shard's order, so that one at most is cut where the quota ends; large ones over many buckets
-    piece = F.when(F.col("n") > RANKED // 2, F.pmod("h", F.ceil(F.col("n") / (RANKED // 2))))
+    piece = F.when(F.col("n") > PIECE, F.pmod("h", F.ceil(F.col("n") / PIECE)))
     bucket = F.pmod(F.xxhash64("grp", piece), F.lit(max(1, total // RANKED)))
     ranked = materialize(distributed_rank(settled, ["shard"], bucket, [F.col("grp"), F.col("h"), F.col("id")]))
     limits = F.array(*[F.lit(q).cast("long") for q in quota])

@@ -85,7 +85,7 @@ class _Matrix:
     def __init__(self, rows: list[tuple]):
         self.size = np.array([len(i) for i, _ in rows])
         self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.idx = np.concatenate([np.asarray(i, np.int64) for i, _ in rows] or [np.empty(0, np.int64)])
+        self.idx = np.concatenate([np.asarray(i, np.int32) for i, _ in rows] or [np.empty(0, np.int32)])
         self.val = np.concatenate([np.asarray(v, np.float32) for _, v in rows] or [np.empty(0, np.float32)])
 
     def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,11 +115,15 @@ def pu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float,
 
 def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, steps: int, batch: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
     """Minimise the non-negative risk pi R_P(+) + max(0, R_U(-) - pi R_P(-)) by Adam, in so many steps of a batch, and to the end of a pass over the unlabelled rows."""
-    rows = np.bincount(np.concatenate([np.unique(i) for i, _ in positive + unlabelled]), minlength=FEATURES)
+    rows = np.zeros(FEATURES, np.int32)
+    for i, _ in positive + unlabelled:
+        rows[np.unique(i)] += 1
     positive, unlabelled = ([(i[keep], v[keep]) for i, v in side for keep in [rows[i] >= LEAST_ROWS]] for side in (positive, unlabelled))
     p, u, rng = _Matrix(positive), _Matrix(unlabelled), np.random.default_rng(seed)
-    used, back = np.unique(np.concatenate([p.idx, u.idx]), return_inverse=True)
-    p.idx, u.idx = back[: len(p.idx)], back[len(p.idx) :]
+    seen = np.zeros(FEATURES, bool)
+    seen[p.idx] = seen[u.idx] = True
+    used, place = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32) - 1
+    p.idx, u.idx = place[p.idx], place[u.idx]
     w, m, v = (np.zeros(len(used) + 1) for _ in range(3))  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
     passed = max(1, -(-len(unlabelled) // batch))

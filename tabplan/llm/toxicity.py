@@ -88,6 +88,12 @@ class _Matrix:
         self.idx = np.concatenate([np.asarray(i, np.int32) for i, _ in rows] or [np.empty(0, np.int32)])
         self.val = np.concatenate([np.asarray(v, np.float32) for _, v in rows] or [np.empty(0, np.float32)])
 
+    def keep(self, entries: np.ndarray) -> None:
+        """Leave out all other entries; rows stay rows."""
+        row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[entries]
+        self.idx, self.val, self.size = self.idx[entries], self.val[entries], np.bincount(row, minlength=len(self.size))
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+
     def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets, values and the position in `chosen` of all entries of the chosen rows."""
         size = self.size[chosen]
@@ -118,8 +124,9 @@ def _fit(positive: list[tuple], unlabelled: list[tuple], prior: float, steps: in
     rows = np.zeros(FEATURES, np.int32)
     for i, _ in positive + unlabelled:
         rows[np.unique(i)] += 1
-    positive, unlabelled = ([(i[keep], v[keep]) for i, v in side for keep in [rows[i] >= LEAST_ROWS]] for side in (positive, unlabelled))
     p, u, rng = _Matrix(positive), _Matrix(unlabelled), np.random.default_rng(seed)
+    for matrix in (p, u):
+        matrix.keep(rows[matrix.idx] >= LEAST_ROWS)
     seen = np.zeros(FEATURES, bool)
     seen[p.idx] = seen[u.idx] = True
     used, place = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32) - 1

@@ -17,6 +17,7 @@ from .plans.compiler import SOURCE, Compiler
 from .plans.errors import PlanError
 from .plans.relation import ROW_ID, Relation, name
 from .plans.spec import Plan, Step, parse_plan
+from .results import SAMPLE, Bounds, bounded_page
 from .sources.tables import Resolver
 from .streaming.jobs import Limits
 
@@ -50,6 +51,11 @@ def head(df: DataFrame, rows: int = 20) -> DataFrame:
     return df.orderBy(name(ROW_ID)).limit(rows)
 
 
+def bounded_head(relation: Relation, bounds: Bounds = SAMPLE) -> list[dict[str, Any]]:
+    """The first rows, as many as the bounds of a sample allow."""
+    return bounded_page(relation, sort=[(ROW_ID, False)], bounds=bounds)["rows"]
+
+
 def _settled(plan: Plan, relations: dict[str, Relation], step: Step) -> tuple[Relation, str]:
     """The step's input, or its nearest ancestor that no pending stage feeds, whose rows bound it."""
     inputs, at = {s.id: s.input for s in plan.steps}, step.input

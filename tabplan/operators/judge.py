@@ -60,8 +60,8 @@ class RuleJudge:
     and hyphens, else 0.05, or again the number after `p=` on the left.
     """
 
-    yes: str = "afford"
-    doubt: str = "maybe"
+    yes: str = "refund"
+    doubt: str = "unsure"
     expressions: ClassVar[bool] = True
 
     @staticmethod

@@ -80,7 +80,7 @@ class Compiler:
 
     def _filter(self, step: Step, given: Relation, path: str) -> Relation:
         compiler = ExprCompiler(given, f"{path}.where")
-        keep = F.coalesce(compiler.compile(step.where), F.lit(False))
+        keep = compiler.compile(step.where)  # a filter drops null as it does false, and bare conditions are pushed down to the scan
         statuses = self._statuses(given, compiler.referenced)
         if not statuses or step.unknown_policy == "include":
             return given.with_(df=given.df.where(keep))
@@ -89,7 +89,7 @@ class Compiler:
             near = [F.coalesce(name(n), F.lit(False)) for s in statuses for n in [s.removesuffix(".status") + ".near"] if n in given.names]
             doubtful = reduce(lambda a, b: a | b, near, ~good)
             self.relations[step.id + REVIEW] = given.with_(df=given.df.where(doubtful), name=step.id + REVIEW)
-        return given.with_(df=given.df.where(keep & good))
+        return given.with_(df=given.df.where(keep).where(good))
 
     def _sort(self, step: Step, given: Relation, path: str) -> Relation:
         self._known([c for c, _ in step.by], given, f"{path}.by")

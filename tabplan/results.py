@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +18,20 @@ from .plans.relation import ROW_ID, Relation, name
 from .plans.spec import parse_expr, parse_metrics
 from .sources.tables import sorted_ids
 
-#: Cells of a page are cut to so many characters.
-PAGE_ROWS, CELL_CHARS = 256, 512
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """How much of a result a reader is given at once: rows, bytes of their JSON and characters of a cell."""
+
+    rows: int
+    bytes: int
+    chars: int
+
+
+# Fixed values of what a page holds for people and for agents, and of a sample.
+WEB, AGENT, SAMPLE = Bounds(256, 256 << 10, 512), Bounds(50, 16 << 10, 240), Bounds(20, 8 << 10, 240)
+PAGE_ROWS, CELL_CHARS = WEB.rows, WEB.chars
 #: Rows that one task sorts for a page.
 DEEP = 50_000
 
@@ -24,7 +39,7 @@ DEEP = 50_000
 def _filtered(relation: Relation, where: dict | None) -> DataFrame:
     if where is None:
         return relation.df
-    return relation.df.where(F.coalesce(ExprCompiler(relation, "where").compile(parse_expr(where, "where")), F.lit(False)))
+    return relation.df.where(ExprCompiler(relation, "where").compile(parse_expr(where, "where")))
 
 
 def _ordered_by(relation: Relation, sort: list[tuple[str, bool]] | None) -> list[Column]:
@@ -74,6 +89,29 @@ def cut_cells(df: DataFrame, chars: int = CELL_CHARS) -> DataFrame:
     return df.select(*cut, long.alias("_truncated"))
 
 
+def bounded_page(relation: Relation, columns: list[str] | None = None, where: dict | None = None, sort: list[tuple[str, bool]] | None = None, start: int = 0, limit: int | None = None, bounds: Bounds = WEB) -> dict[str, Any]:
+    """{rows, truncated, next}: a page's rows as dicts, as many as the bounds allow and one at least.
+
+    Long texts are cut, and `_truncated` in such a row names them. truncated says whether
+    anything was cut or left out, next where the following page begins, or None.
+    """
+    wanted = min(bounds.rows, limit or bounds.rows)
+    found = cut_cells(page(relation, columns, where, sort, start, wanted + 1), bounds.chars).collect()  # a row more than a page
+    rows, size, cut = [], 0, False
+    for r in found[:wanted]:
+        row = r.asDict(recursive=True)
+        if not row["_truncated"]:
+            del row["_truncated"]
+        weight = len(json.dumps(row, default=str, ensure_ascii=False).encode())
+        if rows and size + weight > bounds.bytes:
+            cut = True
+            break
+        rows.append(row)
+        size += weight
+    left = len(found) > len(rows)
+    return {"rows": rows, "truncated": cut or any("_truncated" in r for r in rows), "next": start + len(rows) if left else None}
+
+
 def aggregate(relation: Relation, group_by: list[str], metrics: list[dict], where: dict | None = None, limit: int = 100) -> DataFrame:
     """Groups by the first metric, greatest first, nulls last, then by their keys."""
     found = parse_metrics(metrics, "metrics")
@@ -97,14 +135,16 @@ def vector(relation: Relation, column: str) -> DataFrame:
 
 
 def range_filter(df: DataFrame, column: str, low: float | None, high: float | None, include_null: bool = False) -> DataFrame:
+    """Rows from low to high, either of which may be open; null ones only if they are to be included."""
     c = name(column)
-    inside = F.coalesce((c >= low if low is not None else F.lit(True)) & (c <= high if high is not None else F.lit(True)) & c.isNotNull(), F.lit(False))
-    return df.where(inside | c.isNull() if include_null else inside)
+    inside = [c.isNotNull(), *([c >= low] if low is not None else []), *([c <= high] if high is not None else [])]
+    within = reduce(lambda a, b: a & b, inside)
+    return df.where(within | c.isNull() if include_null else within)
 
 
 def label_filter(df: DataFrame, column: str, labels: list[str]) -> DataFrame:
     """Rows with one of the labels; without labels, all."""
-    return df.where(F.coalesce(name(column).isin(*labels), F.lit(False))) if labels else df
+    return df.where(name(column).isin(*labels)) if labels else df
 
 
 def overrides(spark: SparkSession, cells: list[tuple[int, str, str | None]]) -> DataFrame:

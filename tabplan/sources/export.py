@@ -32,23 +32,25 @@ def pending_counts(relation: Relation) -> dict[str, int]:
     return {s: got[f"n{i}"] for i, s in enumerate(statuses)}
 
 
-def manifest(plan: Plan, relations: dict[str, Relation], step: str, extra: dict[str, Any] | None = None) -> dict[str, Any]:
+def manifest(plan: Plan, relations: dict[str, Relation], step: str, extra: dict[str, Any] | None = None, state: dict[str, Any] | None = None) -> dict[str, Any]:
+    """What an export holds and how complete it is; `state` of a job adds its counts, cuts and usage."""
     relation = relations[step]
+    told = {} if state is None else {"counts": state["counts"], "cuts": state["cuts"], "usage": {k: state[k] for k in ("requests", "asked", "pairs", "tokens", "spent_usd")}, "job": {"state": state["state"], "reason": state["reason"]}}
     return {
         "plan": plan.digest(), "model": plan.model, "step": step, "columns": [{"name": f.name, "type": f.type, "role": f.role} for f in relation.fields],
         "completion": "provisional" if relation.provisional else "complete", "pending": pending_counts(relation), "pending_stages": sorted(relation.pending),
-        "review_views": sorted(n for n in relations if n.endswith(REVIEW)), **(extra or {}),
+        "review_views": sorted(n for n in relations if n.endswith(REVIEW)), **told, **(extra or {}),
     }
 
 
-def export(plan: Plan, relations: dict[str, Relation], step: str, out: str, form: str = "csv", raw: bool = False) -> dict[str, Any]:
+def export(plan: Plan, relations: dict[str, Relation], step: str, out: str, form: str = "csv", raw: bool = False, state: dict[str, Any] | None = None) -> dict[str, Any]:
     """Write a step to the folder `out`, in its order, and return the manifest, which lies beside it."""
     df = relations[step].ordered()
     if form == "csv":
         (df if raw else escape_formulas(df)).write.mode("overwrite").csv(out, header=True, escape='"', emptyValue="")
     else:
         df.write.mode("overwrite").option("compression", "zstd").parquet(out)
-    found = manifest(plan, relations, step, {"format": form, "escaped": form == "csv" and not raw})
+    found = manifest(plan, relations, step, {"format": form, "escaped": form == "csv" and not raw}, state)
     spark = df.sparkSession
     spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.mode("overwrite").text(out.rstrip("/") + ".manifest")
     return found

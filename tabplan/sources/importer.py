@@ -27,6 +27,8 @@ NULLS = ("", "NA", "N/A", "null", "NULL", "None")
 DELIMITERS = (",", "\t", ";", "|")
 TRUE, FALSE = ("true", "yes", "t"), ("false", "no", "f")
 SNIFFED, NEAR_MISS = 64 << 10, 0.9
+#: Encodings by Python's names, as Spark's reader knows them.
+ENCODINGS = {"utf-8": "UTF-8", "iso8859-1": "ISO-8859-1", "ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16-be": "UTF-16BE", "utf-16-le": "UTF-16LE"}
 
 
 @dataclass(frozen=True)
@@ -44,9 +46,11 @@ class Options:
             if text is not None and len(text) != 1:
                 raise PlanError(f"options.{field_}", "length", "one character is expected")
         try:
-            codecs.lookup(self.encoding)
+            known = codecs.lookup(self.encoding).name in ENCODINGS
         except LookupError:
-            raise PlanError("options.encoding", "choice", f"encoding {self.encoding!r} is unknown") from None
+            known = False
+        if not known:
+            raise PlanError("options.encoding", "choice", f"encoding {self.encoding!r} can't be read", f"use one of {', '.join(ENCODINGS)}")
 
 
 @dataclass
@@ -171,7 +175,7 @@ def cast_cell(column: str, kind: str) -> Column:
 def read_text_table(spark: SparkSession, path: str, columns: list[str], delimiter: str, has_header: bool, own: Options = Options()) -> DataFrame:
     """All cells as text, one partition in file order; malformed records carry themselves in _corrupt."""
     schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))), T.StructField("_corrupt", T.StringType())])
-    options = {"sep": delimiter, "header": has_header, "multiLine": True, "quote": own.quote, "escape": own.quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": True, "emptyValue": "", "encoding": own.encoding}
+    options = {"sep": delimiter, "header": has_header, "multiLine": True, "quote": own.quote, "escape": own.quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": True, "emptyValue": "", "encoding": ENCODINGS[codecs.lookup(own.encoding).name]}
     return spark.read.schema(schema).options(**options).csv(path)
 
 

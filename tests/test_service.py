@@ -118,7 +118,7 @@ PLAN = plan_of("t", ANNOTATE, where(call("eq", "q.value", lit(True))))
 
 @pytest.fixture(scope="module")
 def data(spark):
-    return Resolver({"t": spark.createDataFrame([(i, "I afford it" if i % 4 == 0 else "maybe" if i % 4 == 1 else f"row {i}") for i in range(130)], "_row_id long, text string")})
+    return Resolver({"t": spark.createDataFrame([(i, "a refund" if i % 4 == 0 else "unsure" if i % 4 == 1 else f"row {i}") for i in range(130)], "_row_id long, text string")})
 
 
 def test_chunks():

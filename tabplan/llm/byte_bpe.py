@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,30 +95,43 @@ class ByteBpe:
 
     def _learn(self, pretokens: set[str]) -> dict[str, bytes]:
         """The ids of pre-tokens, as bytes of 32-bit integers."""
-        found, rest = {}, []
+        found, rest, whole = {}, [], self._whole.get
         for p in pretokens:
-            i = self._whole.get(p.encode())  # a pre-token that is a token stays whole
+            i = whole(p.encode())  # a pre-token that is a token stays whole
             if i is None:
                 rest.append(p)
             else:
-                found[p] = np.int32(i).tobytes()
+                found[p] = i.to_bytes(4, sys.byteorder)
         if rest:
             for p, ids in zip(rest, self._pieces.encode([mapped(p.encode()) for p in rest], num_threads=1), strict=True):
-                found[p] = np.array(ids, np.int32).tobytes()
+                found[p] = array("i", ids).tobytes()
         return found
 
-    def _of_pretokens(self, split: list[list[str]]) -> list[bytes]:
-        ids = self._ids
-        new = set().union(*split).difference(ids)
+    def _of_pretokens(self, words: list[str], heads: list[list[str]]) -> tuple[list[bytes], list[bytes]]:
+        """(the ids of each word after a space, of each list of pre-tokens)."""
+        ids, split = self._ids, self._split
+        # a space parts the words, and each of them begins with the only space that it has
+        pre = split(" " + " ".join(words)) if words else []
+        if sum(p[0] == " " for p in pre) != len(words):
+            heads = [*heads, *(split(" " + w) for w in words)]
+            pre, words = [], []
+        needed = set(pre).union(*heads)
+        new = needed.difference(ids)
         if len(ids) + len(new) > REMEMBERED:
             ids.clear()
-            new = set().union(*split)
+            new = needed
         ids.update(self._learn(new))
-        out = [b"".join(map(ids.__getitem__, p)) for p in split]
+        learnt: list[bytes] = []
+        for p in pre:
+            if p[0] == " ":
+                learnt.append(ids[p])
+            else:
+                learnt[-1] += ids[p]
+        out = [b"".join(map(ids.__getitem__, h)) for h in heads]
         for p in new:
             if len(p) > LONGEST_REMEMBERED:
                 del ids[p]
-        return out
+        return learnt, out
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text; special tokens are never made, null counts as empty.
@@ -129,21 +144,22 @@ class ByteBpe:
             self._prepare()
         words = self._words
         cut = [t.split(" ") if t else [] for t in texts]
-        new = set().union(*(c[1:] for c in cut)).difference(words)
+        later = set().union(*(c[1:] for c in cut))
+        new = later.difference(words)
         if len(words) + len(new) > REMEMBERED:
             words.clear()
-            new = set().union(*(c[1:] for c in cut))
+            new = later
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        odd = new.difference(plain)
+        odd = new.difference(plain) if len(plain) < len(new) else ()
         heads, whole = [], []
         for t, c in zip(texts, cut, strict=True):
             is_whole = bool(odd) and not odd.isdisjoint(c[1:]) or bool(c) and c[0] != c[0].strip()
             whole.append(is_whole)
             heads.append(self._split(t) if is_whole else self._split(c[0]) if c else [])
-        learnt = self._of_pretokens([self._split(" " + w) for w in plain] + heads)
-        words.update(zip(plain, learnt, strict=False))
+        learnt, found = self._of_pretokens(plain, heads)
+        words.update(zip(plain, learnt or found[len(heads) :], strict=True))
         out = []
-        for c, head, is_whole in zip(cut, learnt[len(plain) :], whole, strict=True):
+        for c, head, is_whole in zip(cut, found, whole, strict=False):
             out.append(np.frombuffer(head if is_whole else head + b"".join(map(words.__getitem__, c[1:])), np.int32))
         for w in plain:
             if len(w) > LONGEST_REMEMBERED:

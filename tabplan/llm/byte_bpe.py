@@ -8,6 +8,7 @@ the pair of least rank first, leftmost on ties, as rank-file tokenizers do.
 from __future__ import annotations
 
 import base64
+import contextlib
 import struct
 import sys
 from array import array
@@ -41,6 +42,11 @@ def mapped(raw: bytes) -> str:
     return raw.decode("latin-1").translate(_MAP)
 
 
+def mapped_all(texts: list[str]) -> list[str]:
+    """mapped() of each text's UTF-8 bytes; byte 255, which UTF-8 never has, stands between them on the way."""
+    return mapped("\udcff".join(texts).encode("utf-8", "surrogateescape")).split(_MAP[255])
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -89,7 +95,10 @@ class ByteBpe:
     def _prepare(self) -> None:
         self._split = regex.compile(self.pattern).findall
         self._pieces = self._model()
-        self._whole = {t: i for i, t in enumerate(self.tokens)}
+        self._whole = {}  # tokens that are texts, as pre-tokens all are
+        for i, t in enumerate(self.tokens):
+            with contextlib.suppress(UnicodeDecodeError):
+                self._whole[t.decode()] = i
         self._ids: dict[str, bytes] = {}  # of pre-tokens
         self._words: dict[str, bytes] = {}  # of what stands between two spaces, with the first of them
 
@@ -97,13 +106,13 @@ class ByteBpe:
         """The ids of pre-tokens, as bytes of 32-bit integers."""
         found, rest, whole = {}, [], self._whole.get
         for p in pretokens:
-            i = whole(p.encode())  # a pre-token that is a token stays whole
+            i = whole(p)  # a pre-token that is a token stays whole
             if i is None:
                 rest.append(p)
             else:
                 found[p] = i.to_bytes(4, sys.byteorder)
         if rest:
-            for p, ids in zip(rest, self._pieces.encode([mapped(p.encode()) for p in rest], num_threads=1), strict=True):
+            for p, ids in zip(rest, self._pieces.encode(mapped_all(rest), num_threads=1), strict=True):
                 found[p] = array("i", ids).tobytes()
         return found
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators.annotate import cache_key, payload
 from .operators.judge import ITEM_TOKENS, REQUEST_TOKENS, estimated_tokens, tokens_of
-from .operators.match import MAX_PAIRS, MAX_RIGHT_ROWS
+from .operators.match import MAX_PAIRS
 from .plans.compiler import SOURCE, Compiler
 from .plans.errors import PlanError
 from .plans.relation import ROW_ID, Relation, name
@@ -85,8 +85,6 @@ def _annotate_stage(step: Step, given: Relation, rows: int, limits: Limits, cach
 
 def _match_stage(step: Step, resolver: Resolver, rows: int, limits: Limits, warnings: list[str]) -> dict[str, Any]:
     right = resolver.dataset(step.right.dataset_id, f"{step.id}.right").count()
-    if right > MAX_RIGHT_ROWS:
-        raise PlanError(step.id, "right_table_too_large", f"the right table has {right} rows, {MAX_RIGHT_ROWS} at most", "filter it first")
     pairs = rows * step.candidates_per_row
     if pairs > MAX_PAIRS:
         warnings.append(f"step {step.id!r}: {pairs} pairs, {MAX_PAIRS} at most; the job will end as partial")

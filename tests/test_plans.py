@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 
 from tabplan.engine import answer_all, run
 from tabplan.functions.expr import plain_double
-from tabplan.functions.text import common_subsequence, indel_distance, token_set_ratio
+from tabplan.functions.text import TokenSets, common_subsequence, indel_distance, token_set_ratio, token_sets_ratio
+from tabplan.operators import match as matching
 from tabplan.operators.annotate import annotate, cache_key, clean_cell
 from tabplan.operators.calibrate import find_cut, otsu
 from tabplan.operators.judge import BatchJudge, RequestFailed, RuleJudge, pack, tokens_of
@@ -389,3 +390,36 @@ def test_similarity():
         assert common_subsequence(a, b) == plain_lcs(a, b) and indel_distance(a, b) == indel_distance(b, a)
         assert token_set_ratio(a, b) == pytest.approx(token_set_ratio(b, a)) and 0 <= token_set_ratio(a, b) <= 100
     assert token_set_ratio("a b c", "c b") == 100 and token_set_ratio("", "a") == 0 and token_set_ratio("ab", "cd") == 0
+
+
+def test_token_sets_compare_with_many_at_once():
+    rnd = random.Random(9)
+    for size, long, tokens in ((1, 4, 2), (30, 3, 3), (90, 12, 2), (90, 150, 1), (120, 2, 6)):
+        words = ["".join(rnd.choice("abé") for _ in range(rnd.randrange(1, long + 1))) for _ in range(12)]
+        some = lambda: frozenset(rnd.sample(words, rnd.randrange(min(12, tokens) + 1)))
+        sets = [some() for _ in range(size)]
+        compared = TokenSets(sets)
+        for x in [some() for _ in range(20)]:
+            assert compared.ratios(x).tolist() == [token_sets_ratio(x, y) for y in sets]
+
+
+def many_suppliers(spark, folder, n=5_300):
+    """As match_blocked's tables, with more right rows than were once let through, of 700 names."""
+    customers = [(k, f"works {k % 7} ab{k}", k % 3) for k in range(25)] + [(5_290, "firm-3", 1)]
+    suppliers = [(k, f"firm {k % 700}", k % 3) for k in range(n)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey long").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey long").write.parquet(f"{folder}/supplier.parquet")
+    return customers, suppliers
+
+
+@pytest.mark.parametrize("slice_rows", [None, 1_000])
+def test_match_blocked_takes_every_right_row(spark, tmp_path, monkeypatch, slice_rows):
+    if slice_rows:
+        monkeypatch.setattr(matching.candidates, "__defaults__", (slice_rows,))
+    customers, suppliers = many_suppliers(spark, tmp_path)
+    got = {r["_row_id"]: r for r in QUERIES["match_blocked"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(customers)
+    for rid, (_, named, nation) in enumerate(customers):
+        found = sorted((-token_set_ratio(named, s), k) for k, s, n in suppliers if n == nation)[:5]
+        assert [(c["right_row_id"], c["retrieval_score"]) for c in json.loads(got[rid]["match_candidates"])] == [(k, pytest.approx(-s, abs=1e-3)) for s, k in found]
+    assert got[25]["match_status"] == "matched"

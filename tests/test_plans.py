@@ -423,3 +423,9 @@ def test_match_blocked_takes_every_right_row(spark, tmp_path, monkeypatch, slice
         found = sorted((-token_set_ratio(named, s), k) for k, s, n in suppliers if n == nation)[:5]
         assert [(c["right_row_id"], c["retrieval_score"]) for c in json.loads(got[rid]["match_candidates"])] == [(k, pytest.approx(-s, abs=1e-3)) for s, k in found]
     assert got[25]["match_status"] == "matched"
+
+
+def test_match_no_candidates_takes_every_right_row(spark, tmp_path):
+    customers, _ = many_suppliers(spark, tmp_path)
+    got = {r["_row_id"]: r["match_status"] for r in QUERIES["match_no_candidates"](spark, str(tmp_path)).collect()}
+    assert got == {i: "unmatched" for i in range(len(customers))}  # each customer's key is a supplier's

@@ -429,3 +429,26 @@ def test_match_no_candidates_takes_every_right_row(spark, tmp_path):
     customers, _ = many_suppliers(spark, tmp_path)
     got = {r["_row_id"]: r["match_status"] for r in QUERIES["match_no_candidates"](spark, str(tmp_path)).collect()}
     assert got == {i: "unmatched" for i in range(len(customers))}  # each customer's key is a supplier's
+
+
+# ---- texts too long for a request, which no rule sends
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Documents of which some are too long for a service: (quiet, rude, doubtful, short, none, long and quiet)."""
+    folder, long = str(tmp_path_factory.mktemp("long")), 130_000
+    texts = ["q" * long + "!", "x" * long + " idiot", "the " * (long // 4), "a short one", None, "z" * long + "!!!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_annotate_boolean_fixed_reads_long_texts(spark, long_texts):
+    got = rows(QUERIES["annotate_boolean_fixed"](spark, long_texts).orderBy("_row_id").select("rude_value", "rude_score", "rude_status"))
+    assert got == [(False, 0.04, "ok"), (True, 0.92, "ok"), (None, 0.5, "uncertain"), (False, 0.04, "ok"), (None, None, "missing"), (False, 0.04, "ok")]
+
+
+def test_a_service_is_not_sent_texts_too_long(spark, long_texts):
+    judge = BatchJudge(lambda texts, questions: [{questions[0]["name"]: {"p": 0.9}} for _ in texts])
+    found = run(plan_of("documents", {"op": "semantic_annotate", "columns": ["text"], "questions": [QUESTION]}), resolver(spark, long_texts), judge)
+    assert [r["money.status"] for r in found.collect()] == ["input_too_long"] * 3 + ["ok", "missing", "input_too_long"]

@@ -457,3 +457,7 @@ def test_a_service_is_not_sent_texts_too_long(spark, long_texts):
 def test_annotate_score_reads_long_texts(spark, long_texts):
     got = rows(QUERIES["annotate_score"](spark, long_texts).orderBy("_row_id").select("urgency_value", "urgency_score", "urgency_status"))
     assert got[0] == ("middle", 1.0, "ok") and got[5] == ("high", 2.0, "ok")
+
+
+def test_annotate_then_aggregate_counts_long_texts(spark, long_texts):
+    assert rows(QUERIES["annotate_then_aggregate"](spark, long_texts).orderBy("_row_id")) == [(0, "missing", 1), (1, "ok", 4), (2, "uncertain", 1)]

@@ -461,3 +461,7 @@ def test_annotate_score_reads_long_texts(spark, long_texts):
 
 def test_annotate_then_aggregate_counts_long_texts(spark, long_texts):
     assert rows(QUERIES["annotate_then_aggregate"](spark, long_texts).orderBy("_row_id")) == [(0, "missing", 1), (1, "ok", 4), (2, "uncertain", 1)]
+
+
+def test_filter_gate_include_keeps_long_texts(spark, long_texts):
+    assert rows(QUERIES["filter_gate_include"](spark, long_texts).orderBy("_row_id")) == [(1, 1, "ok"), (2, 2, "uncertain")]

@@ -465,3 +465,8 @@ def test_annotate_then_aggregate_counts_long_texts(spark, long_texts):
 
 def test_filter_gate_include_keeps_long_texts(spark, long_texts):
     assert rows(QUERIES["filter_gate_include"](spark, long_texts).orderBy("_row_id")) == [(1, 1, "ok"), (2, 2, "uncertain")]
+
+
+def test_override_overlay_keeps_answers_of_long_texts(spark, long_texts):
+    got = rows(QUERIES["override_overlay"](spark, long_texts).orderBy("_row_id").select("rude_value", "rude_status"))
+    assert got == [(False, "ok"), (True, "ok"), (None, "uncertain"), (True, "override"), (None, "missing"), (None, "override")]

@@ -102,7 +102,7 @@ def estimate(plan: Plan | dict | str, resolver: Resolver, limits: Limits = Limit
             continue
         given, bound = _settled(plan, relations, step)
         total = given.df.count()
-        rows = min(total, limits.max_source_rows)
+        rows = total if limits.max_source_rows is None else min(total, limits.max_source_rows)
         if total > rows:
             found.warnings.append(f"step {step.id!r}: {total} rows, {rows} at most; the job will end as partial")
         stage = _annotate_stage(step, given, rows, limits, cache, plan.model) if step.op == "semantic_annotate" else _match_stage(step, resolver, rows, limits, found.warnings)
@@ -116,9 +116,9 @@ def estimate(plan: Plan | dict | str, resolver: Resolver, limits: Limits = Limit
     found.cost_usd = round(found.input_tokens / 1e6 * limits.usd_per_million_tokens, 6)
     if found.requests:
         found.floor_seconds = round(max(found.input_tokens / (TOKENS_PER_SECOND * routes), found.requests / (REQUESTS_PER_MINUTE / 60 * routes)), 2)
-    if found.cost_usd > limits.spend_target_usd:
+    if limits.spend_target_usd is not None and found.cost_usd > limits.spend_target_usd:
         found.warnings.append(f"the cost of ${found.cost_usd:.4f} is above the target of ${limits.spend_target_usd:.2f}")
-    if found.requests > limits.max_provider_requests:
+    if limits.max_provider_requests is not None and found.requests > limits.max_provider_requests:
         found.warnings.append(f"{found.requests} requests, {limits.max_provider_requests} at most")
     if not found.stages:
         found.warnings.append("no semantic steps: nothing is asked of a judge")

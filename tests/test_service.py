@@ -9,7 +9,7 @@ import os
 
 import pytest
 
-from tabplan import results
+from tabplan import queries, results
 from tabplan.functions import metrics
 from tabplan.operators.judge import RuleJudge
 from tabplan.plans.compiler import Compiler
@@ -156,6 +156,26 @@ def test_cancel_deadline_and_rows(spark, tmp_path, data):
     assert Job(spark, str(tmp_path / "c"), PLAN, data, RuleJudge(), Limits(max_source_rows=30)).run().reason == "max_source_rows"
 
 
+def test_a_job_without_bounds(spark, tmp_path, data):
+    ticks = iter(range(0, 100_000, 900))
+    job = Job(spark, str(tmp_path), PLAN, data, RuleJudge(), Limits(None, None, None, None), chunk_rows=60, clock=lambda: next(ticks))
+    assert job.run().state == "succeeded" and sum(job.state.counts["s0"].values()) == 130
+
+
+def test_job_resume_ends_however_long_it_takes(spark, tmp_path, monkeypatch):
+    ticks, jobs = iter(range(0, 10_000_000, 400)), []
+
+    def slow(*given, **options):
+        jobs.append(Job(*given, **options, clock=lambda: next(ticks)))
+        return jobs[-1]
+
+    monkeypatch.setattr(queries, "Job", slow)
+    spark.range(1_300).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["rude_status"]: r["count"] for r in queries.QUERIES["job_resume"](spark, str(tmp_path)).groupBy("rude_status").count().collect()}
+    assert got == {"ok": 1_300} and [j.state.reason for j in jobs] == ["max_provider_requests", None]
+    assert jobs[1].limits.max_source_rows is None
+
+
 def test_one_key_one_job(spark, tmp_path, data):
     jobs = Jobs(spark, str(tmp_path))
     assert jobs.submit("k", PLAN, data, RuleJudge()).folder == jobs.submit("k", PLAN, data, RuleJudge()).folder

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, slices
 
 #: Pre-tokens whose ids a worker remembers; then it starts afresh. Longer ones aren't remembered.
-REMEMBERED, LONGEST_REMEMBERED = 120_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
 _FIRST = 256
 _MAP = {b: chr(_FIRST + b) for b in range(256)}
 
